@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters of Unicode's White_Space property, as a Java class.
-BLANK = r"[\t-\r \u0085   -     　]"
+BLANK = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Words that stand for a missing value, in any letter case.
 MISSING_WORDS = ("nan", "none", "not given", "unknown", "-")
 

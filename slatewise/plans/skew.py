@@ -14,7 +14,7 @@ def join_on_counted(left: DataFrame, right: DataFrame, key: str, count: str, sha
 
     Keys with at least ``share`` of all counted rows are at most ``1 / share``
     many, so those rows of ``right`` are broadcast whatever the data's size.
-    Rows of ``left`` with such a key get a random key for the shuffled join and
+    Rows of ``left`` with such a key get a hash of the row as key for the shuffled join and
     are thus spread evenly. ``right`` should be a written table: it is read
     three times. Columns of ``right`` other than key and count are added.
     """
@@ -25,16 +25,17 @@ def join_on_counted(left: DataFrame, right: DataFrame, key: str, count: str, sha
     hot = right.filter(F.col(count) >= F.lit(total * share)).select(F.col(key).alias(f"_hk{tag}"), value.alias(f"_hv{tag}"))
     rest = right.filter(F.col(count) < F.lit(total * share)).select(F.col(key).alias(f"_rk{tag}"), value.alias(f"_rv{tag}"))
     marked = left.join(F.broadcast(hot), F.col(key) == F.col(f"_hk{tag}"), "left")
-    spread = F.when(F.col(f"_hk{tag}").isNull(), F.col(key)).otherwise(_random_like(left.schema[key].dataType.simpleString()))
+    spread = F.when(F.col(f"_hk{tag}").isNull(), F.col(key)).otherwise(_spread(left, key))
     marked = marked.withColumn(f"_jk{tag}", spread)
     joined = marked.join(rest, F.col(f"_jk{tag}") == F.col(f"_rk{tag}"), "left")
     joined = joined.withColumn(f"_v{tag}", F.coalesce(F.col(f"_hv{tag}"), F.col(f"_rv{tag}"))).filter(F.col(f"_v{tag}").isNotNull())
     return joined.select(*left.columns, *(F.col(f"_v{tag}.{c}").alias(c) for c in extra))
 
 
-def _random_like(kind: str):
-    # a value that is in no table: used only to spread rows that need no partner
-    noise = F.concat(F.lit("\x00spread\x00"), F.rand().cast("string"))
+def _spread(left: DataFrame, key: str):
+    # a value that no table holds, the same whenever a lost task is run again
+    noise = F.concat(F.lit("\x00spread\x00"), F.xxhash64(*left.columns).cast("string"))
+    kind = left.schema[key].dataType.simpleString()
     if kind == "binary":
         return F.encode(noise, "utf-8")
     if kind == "string":
