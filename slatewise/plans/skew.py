@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_on_counted(left: DataFrame, right: DataFrame, key: str, count: str, share: float = 1 / 64) -> DataFrame:
+def join_on_counted(left: DataFrame, right: DataFrame, key: str, count: str, share: float = 1 / 64, total: float | None = None) -> DataFrame:
     """Inner join of ``left`` with ``right``, whose ``key`` is unique and whose
     ``count`` says how many rows of ``left`` hold that key.
 
@@ -20,7 +20,8 @@ def join_on_counted(left: DataFrame, right: DataFrame, key: str, count: str, sha
     """
     extra = [c for c in right.columns if c not in (key, count)]
     tag = uuid.uuid4().hex[:8]
-    total = right.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(count)).first()[0] or 0
     value = F.struct(*extra)
     hot = right.filter(F.col(count) >= F.lit(total * share)).select(F.col(key).alias(f"_hk{tag}"), value.alias(f"_hv{tag}"))
     rest = right.filter(F.col(count) < F.lit(total * share)).select(F.col(key).alias(f"_rk{tag}"), value.alias(f"_rv{tag}"))
