@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatewise.llm.canonical_labels import label_mapping
 from slatewise.llm.format_duplicates import DuplicateLedger, canonical_key
+from slatewise.llm.linked_splits import assign_splits, condition_groups, groups_of_two, yield_band
+from slatewise.llm.split_overlap import chained_coverage, split_overlap
 from slatewise.llm.term_frequency import TermCounts
 from slatewise.llm.top_per_group import ascending, descending, top_items
 from slatewise.shared import new_folder, written
@@ -18,6 +20,28 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return groups_of_two(condition_groups(_table(spark, sf, "condition_records")), "record_id")
+
+
+def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record with its group and split; strata are bands of yield."""
+    records = _table(spark, sf, "condition_records")
+    labels = records.select("record_id", yield_band(F.col("yield_value")).alias("label"))
+    shares = [(r["split_name"], r["target_share"]) for r in _table(spark, sf, "split_shares").orderBy("split_name").limit(100).collect()]
+    return assign_splits(condition_groups(records).join(labels, "record_id"), shares).select("record_id", "group_id", "label", "split_name")
+
+
+def p1_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of all records per split, and of each label within it, beside the targets."""
+    rows = p1_splits(spark, sf).groupBy("split_name", "label").agg(F.count("*").alias("records"))
+    shares = _table(spark, sf, "split_shares")
+    by_split, by_label, whole = Window.partitionBy("split_name"), Window.partitionBy("label"), Window.partitionBy()
+    share = F.sum("records").over(by_split) / F.sum("records").over(whole)
+    shift = F.col("records") / F.sum("records").over(by_split) - F.sum("records").over(by_label) / F.sum("records").over(whole)
+    return rows.withColumns({"reached_share": share, "label_shift": shift}).join(F.broadcast(shares), "split_name", "left")
+
+
 def _term_counts(spark: SparkSession, sf: str) -> TermCounts:
     """Two loads: the rows with a load time, then those delivered without one."""
     rows = _table(spark, sf, "condition_rows").select(*LABEL_FIELDS, "loaded_at")
@@ -74,5 +98,27 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return label_mapping(_table(spark, sf, "condition_rows"), _table(spark, sf, "label_reference"), roles)
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_collapsed": p3_collapsed, "p4_found": p4_found, "p5_found": p5_found}
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = split_overlap(_table(spark, sf, "system_records"))
+    return pairs.select(F.least("train_id", "evaluation_id").alias("record_id_1"), F.greatest("train_id", "evaluation_id").alias("record_id_2")).distinct()
+
+
+def p6_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Per overlapping evaluation record: its train partners and the best coverage of its values."""
+    pairs = split_overlap(_table(spark, sf, "system_records"))
+    scored = pairs.select("evaluation_id", "split_name", "source", chained_coverage(F.col("e_product"), F.col("t_product")).alias("p"), chained_coverage(F.col("e_route"), F.col("t_route")).alias("r"))
+    return scored.groupBy(F.col("evaluation_id").alias("record_id"), "split_name", "source").agg(F.count("*").alias("links"), F.max("p").alias("product_coverage"), F.max("r").alias("route_coverage"))
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping records and mean coverage per split and source."""
+    return p6_coverage(spark, sf).groupBy("split_name", "source").agg(
+        F.count("*").alias("records"), F.sum("links").alias("links"), F.avg("product_coverage").alias("product_coverage"), F.avg("route_coverage").alias("route_coverage")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_splits, p1_report, p2_found, p2_counts, p3_found, p3_collapsed, p4_found, p5_found, p6_found, p6_coverage, p6_report)
+}
 ORACLE: dict[str, str] = {}
