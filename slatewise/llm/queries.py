@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from slatewise.llm.canonical_labels import label_mapping
 from slatewise.llm.format_duplicates import DuplicateLedger, canonical_key
 from slatewise.llm.linked_splits import assign_splits, condition_groups, groups_of_two, yield_band
+from slatewise.llm.mixing import draw, shares_reached
 from slatewise.llm.split_overlap import chained_coverage, split_overlap
+from slatewise.llm.subjects import document_subjects
 from slatewise.llm.term_frequency import TermCounts
+from slatewise.llm.tokenizer import decode, encode, token_counts
 from slatewise.llm.top_per_group import ascending, descending, top_items
 from slatewise.shared import new_folder, written
 
@@ -117,8 +120,41 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode(_table(spark, sf, "documents"))
+
+
+def p7_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """How many texts come back from their ids as they were."""
+    documents = _table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("original"))
+    back = decode(encode(_table(spark, sf, "documents"))).join(documents, "doc_id")
+    return back.agg(F.count("*").alias("documents"), F.sum((F.col("text") == F.col("original")).cast("bigint")).alias("restored"), F.sum(F.size("ids")).alias("tokens"))
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    documents, mix = _table(spark, sf, "documents"), _table(spark, sf, "source_mix")
+    wanted = documents.join(F.broadcast(mix.select("source").distinct()), "source", "left_semi").select("doc_id", "source", "text")
+    sized = written(token_counts(wanted).join(wanted.select("doc_id", "source"), "doc_id"), "sized-documents")
+    return draw(sized, mix)
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return shares_reached(p8_mix(spark, sf), _table(spark, sf, "source_mix"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    subjects = [r["subject"] for r in _table(spark, sf, "subject_areas").orderBy("subject").limit(1000).collect()]
+    return document_subjects(_table(spark, sf, "documents"), _table(spark, sf, "subject_samples"), subjects)
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents per subject, and their share of all documents."""
+    total = _table(spark, sf, "documents").count()
+    return p9_found(spark, sf).groupBy("subject").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / total)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p1_report, p2_found, p2_counts, p3_found, p3_collapsed, p4_found, p5_found, p6_found, p6_coverage, p6_report)
+    for f in (p1_found, p1_splits, p1_report, p2_found, p2_counts, p3_found, p3_collapsed, p4_found, p5_found, p6_found, p6_coverage, p6_report, p7_ids, p7_roundtrip, p8_mix, p8_report, p9_found, p9_composition)
 }
 ORACLE: dict[str, str] = {}
