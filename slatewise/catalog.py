@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+import importlib
+import pkgutil
+
+from slatewise import queries
+from slatewise.registry import ORACLE, QUERIES
+
+for _m in pkgutil.iter_modules(queries.__path__):
+    importlib.import_module(f"slatewise.queries.{_m.name}")
+
+__all__ = ["ORACLE", "QUERIES"]
