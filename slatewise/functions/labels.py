@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from slatewise.functions.text import MISSING_WORDS
+from slatewise.functions.text import MISSING_WORDS, trim_blank
 
 # Words that label normalisation drops, in any letter case.
 LABEL_SENTINELS = ("nan", "none")
@@ -13,7 +13,7 @@ LABEL_SENTINELS = ("nan", "none")
 
 def tokens(cell: Column, separator: str = ";") -> Column:
     """trimmed, non-empty tokens of a cell in order; empty array for null."""
-    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), separator), lambda x: trim_blank(x)), lambda x: x != "")
 
 
 def token_count(cell: Column) -> Column:

@@ -10,6 +10,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+# Unicode blanks as a class of DuckDB's regular expressions
+SQL_BLANK = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def sql_tokens(cell: str) -> str:
+    """DuckDB text for the trimmed, non-empty tokens of a label cell."""
+    return f"list_filter(list_transform(string_split(coalesce({cell}, ''), ';'), lambda x: regexp_replace(x, '^{SQL_BLANK}+|{SQL_BLANK}+$', '', 'g')), lambda x: x <> '')"
+
+
 class Tables:
     """Tables of a folder as attributes, each read with its own schema and only the columns used."""
 
