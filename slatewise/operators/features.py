@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def distinct_mapped(df: DataFrame, column: str, name: str, provider: Callable[[Column], Column]) -> DataFrame:
     """A costly function applied once per distinct value and joined back."""
-    each = df.select(column).distinct().withColumn(name, provider(F.col(column)))
-    return df.join(each, F.col(f"`{column}`").eqNullSafe(each[column]), "left").drop(each[column])
+    each = df.select(F.col(column).alias("_distinct")).distinct().withColumn(name, provider(F.col("_distinct")))
+    return df.join(each, F.col(column).eqNullSafe(F.col("_distinct")), "left").drop("_distinct")
 
 
 def filled(known: Column, computed: Column) -> Column:

@@ -15,16 +15,16 @@ def running(df: DataFrame, part: list[str], ordinal: list[str], value: Column, b
     up alone, the ranges' totals (as many as there are partitions and groups) are accumulated,
     and no task ever holds more than one range. Null groups are groups.
     """
-    ranged = df.withColumn("_v", value).repartitionByRange(*part, *ordinal).withColumn("_range", F.spark_partition_id())
+    ranged = df.withColumn("_running_v", value).repartitionByRange(*part, *ordinal).withColumn("_running_range", F.spark_partition_id())
     held = written(ranged, "ranges")
-    sums = held.groupBy(*part, "_range").agg(F.sum("_v").alias("_sum"))
+    sums = held.groupBy(*part, "_running_range").agg(F.sum("_running_v").alias("_running_sum"))
     across = Window.partitionBy(*part)
-    sums = sums.withColumn("_base", F.sum("_sum").over(across.orderBy("_range")) - F.col("_sum")).withColumn("_all", F.sum("_sum").over(across)).drop("_sum")
-    sums = sums.withColumnsRenamed({p: f"_{p}" for p in part})
-    own = F.sum("_v").over(Window.partitionBy(*part, "_range").orderBy(*ordinal).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")
-    on = [held["_range"] == sums["_range"], *(F.col(p).eqNullSafe(F.col(f"_{p}")) for p in part)]
+    sums = sums.withColumn("_running_base", F.sum("_running_sum").over(across.orderBy("_running_range")) - F.col("_running_sum")).withColumn("_running_all", F.sum("_running_sum").over(across)).drop("_running_sum")
+    sums = sums.withColumnsRenamed({p: f"_running_by_{p}" for p in part})
+    own = F.sum("_running_v").over(Window.partitionBy(*part, "_running_range").orderBy(*ordinal).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_running_v")
+    on = [held["_running_range"] == sums["_running_range"], *(F.col(p).eqNullSafe(F.col(f"_running_by_{p}")) for p in part)]
     # ranges times the groups that meet in one: the optimiser broadcasts it only below its own size limit
-    joined = held.withColumn("_own", own).join(sums, on).withColumn(before, F.col("_base") + F.col("_own"))
+    joined = held.withColumn("_running_own", own).join(sums, on).withColumn(before, F.col("_running_base") + F.col("_running_own"))
     if total:
-        joined = joined.withColumn(total, F.col("_all"))
+        joined = joined.withColumn(total, F.col("_running_all"))
     return joined.select(*df.columns, before, *([total] if total else []))
