@@ -13,5 +13,3 @@ ROUTE_CACHE = (
 RAW_COLUMNS = (
     "Reaction ID", "Reaction", "Temperature (Reaction Details) [C]", "Yield (numerical)", "Reagent", "Catalyst", "Solvent (Reaction Details)", "Number of Reaction Steps",
 )
-# Encodings tried in turn.
-ENCODINGS = ("utf-8", "cp1252", "latin-1", "ISO-8859-1")

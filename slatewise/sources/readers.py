@@ -71,17 +71,22 @@ def route_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_export(spark: SparkSession, path: str, columns: tuple[str, ...] = schema.RAW_COLUMNS) -> DataFrame:
-    """A CSV export with its wanted columns, in the first encoding that reads its text whole.
+    """A CSV export with its wanted columns, as UTF-8 or, where that leaves replacement signs, as Windows-1252.
 
-    An encoding is refused if decoding leaves replacement signs. Spreadsheets must be converted beforehand.
+    Spark reads ISO-8859-1, which takes every byte; the signs that Windows-1252 has in
+    the place of control characters are put in afterwards. Spreadsheets must be converted beforehand.
     """
-    last = None
-    for encoding in dict.fromkeys(e if e != "cp1252" else "windows-1252" for e in schema.ENCODINGS):
-        last = spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"')
-        broken = F.concat_ws("", *(F.col(f"`{c}`") for c in last.columns)).contains("�")
-        if not last.filter(broken).limit(1).count():
-            break
-    return last.select(*(F.col(f"`{c}`") if c in last.columns else F.lit(None).cast("string").alias(c) for c in columns))
+
+    def read(encoding: str) -> DataFrame:
+        return spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"')
+
+    table = read("utf-8")
+    if table.filter(F.concat_ws("", *(F.col(f"`{c}`") for c in table.columns)).contains("\ufffd")).limit(1).count():
+        control = "".join(map(chr, range(0x80, 0xA0)))
+        windows = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace").replace("\ufffd", " ")
+        table = read("iso-8859-1")
+        table = table.select(*(F.translate(F.col(f"`{c}`"), control, windows).alias(c) for c in table.columns))
+    return table.select(*(F.col(f"`{c}`") if c in table.columns else F.lit(None).cast("string").alias(c) for c in columns))
 
 
 def name_map(spark: SparkSession, path: str) -> DataFrame:
