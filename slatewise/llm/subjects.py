@@ -166,7 +166,8 @@ def document_subjects(documents: DataFrame, samples: DataFrame, subjects: list[s
     def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen = Counter(t for text in batch["text"] for t in set().union(*map(terms, sentences(text))))
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
     labelled = [(r["text"] or "", list(r["subjects"] or [])) for r in samples.select("text", "subjects").orderBy("text").limit(MAX_SAMPLES).collect()]
     total = texts.count()
@@ -183,7 +184,8 @@ def document_subjects(documents: DataFrame, samples: DataFrame, subjects: list[s
             for i, text in zip(batch["id"], batch["text"], strict=True):
                 rows = [[n for t in terms(s) if (n := numbers.get(t)) is not None] for s in sentences(text)]
                 out.append((i, [n for row in rows for n in row], [len(row) for row in rows]))
-            yield pd.DataFrame(out, columns=["id", "flat", "lengths"])
+            if out:
+                yield pd.DataFrame(out, columns=["id", "flat", "lengths"])
 
     matrix = written(texts.mapInPandas(number_terms, "id bigint, flat array<int>, lengths array<int>"), "sentence-terms")
     for _ in range(rounds if labelled else 0):
@@ -196,7 +198,8 @@ def document_subjects(documents: DataFrame, samples: DataFrame, subjects: list[s
                 for flat, lengths in _chunks(batch):
                     sums += profile_sums(flat, lengths, fold_in(flat, lengths, profiles, steps=8), profiles)
             at = np.flatnonzero(sums.sum(0))
-            yield pd.DataFrame({"term": at.astype(np.int32), "sums": list(sums[:, at].T)})
+            if len(at):
+                yield pd.DataFrame({"term": at.astype(np.int32), "sums": list(sums[:, at].T)})
 
         rows = matrix.select("flat", "lengths").mapInPandas(add_up, "term int, sums array<double>")
         columns = [F.sum(F.get("sums", F.lit(j))).alias(f"c{j}") for j in range(len(subjects) + 1)]
@@ -218,6 +221,7 @@ def document_subjects(documents: DataFrame, samples: DataFrame, subjects: list[s
             share = np.zeros((len(batch), len(subjects) + 1))
             np.add.at(share, (np.repeat(np.arange(len(batch)), per), best), 1)
             row, col = np.nonzero((share[:, :-1] > 0) & (share[:, :-1] >= QUARTER * per[:, None]))
-            yield pd.DataFrame({key: batch["id"].to_numpy()[row], "subject": [subjects[c] for c in col]})
+            if len(row):
+                yield pd.DataFrame({key: batch["id"].to_numpy()[row], "subject": [subjects[c] for c in col]})
 
     return matrix.mapInPandas(name_subjects, f"{key} bigint, subject string")
