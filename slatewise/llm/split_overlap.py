@@ -28,6 +28,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +42,13 @@ from slatewise.shared import written
 
 PIECE, SEED, WINDOW, SHORT, SHARE = 5, 14, 4, 50, 0.65
 HEAVY = 10_000
+CHUNK = 1_000_000
 
 
 def ordered_components(c: Column) -> Column:
     """The value without blanks and empty components, components in order, or null."""
-    parts = F.array_sort(F.filter(F.split(drop_blank(c), "[.]"), lambda x: x != ""))
-    return F.nullif(F.array_join(parts, "."), F.lit(""))
+    parts = F.filter(F.split(drop_blank(c), "\\."), lambda x: x != "")
+    return F.nullif(F.array_join(F.sort_array(parts), "."), F.lit(""))
 
 
 def _grams(c: Column, n: int) -> Column:
@@ -54,55 +60,138 @@ def pieces(value: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.split(value, "[.]"), lambda c: _grams(c, PIECE))))
 
 
-def seeds(value: Column) -> Column:
-    """Distinct selected hashes of an ordered value."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    # the finisher of splitmix64: orders hashes evenly
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-    def selected(c: Column) -> Column:
-        def least(hashes: Column) -> Column:
-            return F.when(F.size(hashes) <= WINDOW, F.array(F.array_min(hashes))).otherwise(
-                F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.array_min(F.slice(hashes, i, WINDOW)))
-            )
 
-        return let(F.transform(_grams(c, SEED), lambda g: F.xxhash64(g)), least)
+def rolling_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``n`` signs of each component (of the whole of a shorter one).
 
-    return F.array_distinct(F.flatten(F.transform(F.split(value, "[.]"), selected)))
+    ``codes`` holds all components, each followed by a separator. Gives the hashes in
+    order, the component of each, and the number of each component's hashes.
+    """
+    base = np.uint64(0x9E3779B97F4A7C15)
+    rolled = np.zeros(max(len(codes) - n + 1, 0), np.uint64)
+    for j in range(n):
+        rolled = rolled * base + codes[j : len(codes) - n + 1 + j]
+    count = np.maximum(lengths - n + 1, 1)
+    own = np.repeat(np.arange(len(starts)), count)
+    at = np.repeat(starts, count) + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    short = lengths < n
+    out = rolled[np.minimum(at, max(len(rolled) - 1, 0))] if len(rolled) else np.zeros(len(at), np.uint64)
+    if short.any():
+        whole, where = np.zeros(int(short.sum()), np.uint64), starts[short]
+        for j in range(n - 1):
+            inside = j < lengths[short]
+            whole = np.where(inside, whole * base + codes[np.minimum(where + j, len(codes) - 1)], whole)
+        out[short[own]] = whole + lengths[short].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return _mixed(out + np.uint64(n)), own, count
+
+
+def window_minima(hashes: np.ndarray, own: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowing: the least of each WINDOW neighbouring hashes of a component, or of all if it has fewer."""
+    first = np.cumsum(count) - count
+    n = len(hashes) - WINDOW + 1
+    least, where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if n > 0:
+        least = hashes[:n]
+        for j in range(1, WINDOW):
+            least = np.minimum(least, hashes[j : n + j])
+        whole = own[:n] == own[WINDOW - 1 :]
+        least, where = least[whole], own[:n][whole]
+    few = np.flatnonzero(count < WINDOW)
+    if len(few):
+        all_min = np.minimum.reduceat(hashes, first)
+        least, where = np.concatenate([least, all_min[few]]), np.concatenate([where, few])
+    return least, where
+
+
+def _distinct(values: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((hashes, values))
+    values, hashes = values[order], hashes[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (hashes[1:] != hashes[:-1])
+    return values[new], hashes[new]
+
+
+def _lists(values: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
+    return np.split(hashes.view(np.int64), np.cumsum(np.bincount(values, minlength=n))[:-1]) if n else []
+
+
+def describe(texts: list[str], all_pieces_below: int) -> pd.DataFrame:
+    """Number of distinct pieces, their 256-bit map, piece hashes of values with fewer than ``all_pieces_below``, and seeds of the others."""
+    parts = [t.split(".") for t in texts]
+    value = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    lengths = np.array([len(c) for p in parts for c in p], np.int64)
+    codes = np.frombuffer((".".join(texts) + ".").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    hashes, own, _ = rolling_hashes(codes, starts, lengths, PIECE)
+    v, h = _distinct(value[own], hashes)
+    n = np.bincount(v, minlength=len(texts))
+    bits = np.zeros((len(texts), 256), bool)
+    bits[v, (h & np.uint64(255)).astype(np.int64)] = True
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    kept = n[v] < all_pieces_below
+    grams, own, count = rolling_hashes(codes, starts, lengths, SEED)
+    least, where = window_minima(grams, own, count)
+    sv, sh = _distinct(value[where], least)
+    long = n[sv] >= SHORT
+    return pd.DataFrame(
+        {"n": n.astype(np.int32), **{f"b{j}": words[:, j] for j in range(4)}, "hashes": _lists(v[kept], h[kept], len(texts)), "long_seeds": _lists(sv[long], sh[long], len(texts))}
+    )
 
 
-def _bit_map(hashes: Column) -> list[Column]:
-    def word(j: int) -> Column:
-        own = F.filter(hashes, lambda h: F.pmod(h, F.lit(256)).between(64 * j, 64 * j + 63))
-        return F.aggregate(own, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))))
+def described(values: DataFrame) -> DataFrame:
+    """``values`` (with ``value``) plus a digest, number of pieces, bit map, and seeds by kind.
 
-    return [word(j).alias(f"b{j}") for j in range(4)]
+    The rolling hashes are NumPy over Arrow batches: a run of vector operations
+    for a whole batch, where expressions would take a call per sign.
+    """
+    mid = math.ceil(SHORT / SHARE)
 
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            ends = part["value"].str.len().cumsum().to_numpy()
+            first = 0
+            while first < len(part):
+                last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CHUNK, "right")), first + 1)
+                piece = part.iloc[first:last].reset_index(drop=True)
+                yield pd.concat([piece, describe(piece["value"].tolist(), mid)], axis=1)
+                first = last
+
+    numbers = "n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, hashes array<bigint>, long_seeds array<bigint>"
+    kinds = ", ".join(f"`{c}` {t}" for c, t in values.dtypes)
+    digest = F.unhex(F.md5(F.concat_ws("\x1f", *(F.col(c).cast("string") for c in values.columns))))
+    return values.mapInPandas(batches, f"{kinds}, {numbers}").withColumn("vid", digest)
 
-def described(values: DataFrame) -> DataFrame:
-    """``values`` (with ``value``) plus a digest, number of pieces, bit map, and seeds by kind."""
-    cut = values.withColumn("pieces", pieces(F.col("value")))
-    counted = cut.withColumn("n", F.size("pieces")).withColumn("hashes", F.transform("pieces", lambda x: F.xxhash64(x)))
-    return counted.select(*values.columns, F.unhex(F.md5(F.concat_ws("\x1f", *(F.col(c).cast("string") for c in values.columns)))).alias("vid"), "n", "hashes", *_bit_map(F.col("hashes")), F.when(F.col("n") >= SHORT, seeds(F.col("value"))).alias("long_seeds"))
 
+def seed_rows(values: DataFrame, side: str, keep: list[str], within: list[str], short: bool) -> DataFrame:
+    """One row per seed: ``key`` and the columns needed to bound an overlap.
 
-def seed_rows(values: DataFrame, side: str, keep: list[str], within: list[str]) -> DataFrame:
-    """One row per seed: ``key`` and the columns needed to bound an overlap."""
+    With ``short``, values with few pieces meet each other and those that may be their partners on single pieces.
+    """
 
-    def tagged(hashes: Column, tag: str) -> Column:
+    def tagged(hashes: str, tag: str) -> Column:
         return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(tag), *within))
 
-    few, mid = F.col("n") < SHORT, (F.col("n") >= SHORT) & (F.col("n") * SHARE < SHORT)
-    none = F.array().cast("array<bigint>")
-    mine, theirs = ("short-mid", "mid-short") if side == "train" else ("mid-short", "short-mid")
-    keys = F.concat(
-        F.coalesce(tagged(F.col("long_seeds"), "long"), none),
-        F.when(few, F.concat(tagged(F.col("hashes"), "short"), tagged(F.col("hashes"), mine))).when(mid, tagged(F.col("hashes"), theirs)).otherwise(none),
-    )
+    keys = tagged("long_seeds", "long")
+    if short:
+        few, mid = F.col("n") < SHORT, (F.col("n") >= SHORT) & (F.col("n") * SHARE < SHORT)
+        mine, theirs = ("short-mid", "mid-short") if side == "train" else ("mid-short", "short-mid")
+        none = F.array().cast("array<bigint>")
+        keys = F.concat(keys, F.when(few, F.concat(tagged("hashes", "short"), tagged("hashes", mine))).when(mid, tagged("hashes", theirs)).otherwise(none))
     return values.select(F.explode(keys).alias("key"), *keep, "n", "b0", "b1", "b2", "b3")
 
 
 def candidates(train: DataFrame, evaluation: DataFrame, keep_t: list[str], keep_e: list[str], within: list[str]) -> DataFrame:
     """Distinct pairs of values that share a seed and may reach the share."""
-    t = written(seed_rows(train, "train", keep_t, within), "train-seeds")
-    e = seed_rows(evaluation, "evaluation", keep_e, within)
+    # without a value of few pieces there is no pair for the single pieces to find
+    short = bool(train.filter(F.col("n") < SHORT).limit(1).count() or evaluation.filter(F.col("n") < SHORT).limit(1).count())
+    t = written(seed_rows(train, "train", keep_t, within, short), "train-seeds")
+    e = seed_rows(evaluation, "evaluation", keep_e, within, short)
     least = max(256, t.count() // HEAVY)
     # at most HEAVY seeds can be held so often
     heavy = F.broadcast(written(t.groupBy("key").agg(F.ceil(F.count("*") / F.lit(least)).cast("int").alias("salts")).filter("salts > 1"), "heavy-seeds"))
@@ -124,7 +213,7 @@ def almost_equal(a: Column, b: Column) -> Column:
     """The exact rule on two ordered values."""
     both = F.struct(pieces(a).alias("a"), pieces(b).alias("b"))
     sizes = let(both, lambda x: F.struct(F.size(F.array_intersect(x["a"], x["b"])).alias("common"), (F.size(x["a"]) + F.size(x["b"])).alias("both")))
-    return let(sizes, lambda s: s["common"] * 100 >= (s["both"] - s["common"]) * round(SHARE * 100))
+    return F.when(a == b, True).otherwise(let(sizes, lambda s: s["common"] * 100 >= (s["both"] - s["common"]) * round(SHARE * 100)))
 
 
 def chained_coverage(value: Column, train_value: Column) -> Column:
@@ -166,7 +255,8 @@ def overlapping_values(records: DataFrame) -> DataFrame:
     of_train = routes.filter("side = 'train'").join(near.select(F.col("t_product").alias("product")).distinct(), "product", "left_semi")
     of_train = of_train.select(F.xxhash64("product").alias("t_group"), F.col("product").alias("t_product"), "value")
     of_evaluation = routes.filter("side = 'evaluation'").join(near.withColumnRenamed("e_product", "product"), "product").select(F.xxhash64("t_product").alias("t_group"), "t_product", F.col("product").alias("e_product"), "value")
-    t_rows, e_rows = written(described(of_train), "train-routes"), written(described(of_evaluation), "evaluation-routes")
+    # a product can hold a third of all routes: they are spread before they are described
+    t_rows, e_rows = written(described(of_train.repartition("t_group", "value")), "train-routes"), written(described(of_evaluation.repartition("t_group", "value")), "evaluation-routes")
     pairs = candidates(t_rows, e_rows, ["vid"], ["vid"], ["t_group"])
     pairs = pairs.join(t_rows.select(F.col("vid").alias("t_vid"), "t_product", F.col("value").alias("t_route")), "t_vid")
     pairs = pairs.join(e_rows.select(F.col("vid").alias("e_vid"), "e_product", F.col("value").alias("e_route")), "e_vid")
