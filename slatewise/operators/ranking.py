@@ -92,10 +92,12 @@ def weight_grid_hits(df: DataFrame, slate: str, score: Column, prior: Column, we
     n = weights.count()
     if n > 10_000:
         raise ValueError("a grid is small")
-    spread = df.crossJoin(F.broadcast(weights))
-    w = Window.partitionBy("w", slate).orderBy((score + F.col("w") * prior).desc(), *tie)
-    at = spread.withColumn("r", F.row_number().over(w))
-    per = at.groupBy("w", slate).agg(*(F.max(((F.col("r") <= k) & (F.col("label") > 0.5)).cast("int")).alias(f"hit{k}") for k in ks))
+    # ties are settled once, so that the rows of the grid carry numbers only; rows are
+    # shuffled once, by slate, before the grid spreads them: (w, slate) is then already together
+    placed = df.select(slate, "label", score.alias("s"), prior.alias("p"), F.row_number().over(Window.partitionBy(slate).orderBy(*tie)).alias("t"))
+    rows = placed.crossJoin(F.broadcast(weights)).select("w", slate, "label", (F.col("s") + F.col("w") * F.col("p")).alias("v"), "t")
+    at = rows.withColumn("r", F.row_number().over(Window.partitionBy(slate, "w").orderBy(F.col("v").desc(), "t"))).filter(F.col("r") <= max(ks))
+    per = at.groupBy(slate, "w").agg(*(F.max(((F.col("r") <= k) & (F.col("label") > 0.5)).cast("int")).alias(f"hit{k}") for k in ks))
     return per.groupBy("w").agg(*(F.sum(f"hit{k}").cast("bigint").alias(f"hit{k}") for k in ks))
 
 
