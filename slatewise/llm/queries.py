@@ -9,6 +9,7 @@ from slatewise.llm.canonical_labels import label_mapping
 from slatewise.llm.format_duplicates import DuplicateLedger, canonical_key
 from slatewise.llm.linked_splits import assign_splits, condition_groups, groups_of_two, yield_band
 from slatewise.llm.mixing import draw, shares_reached
+from slatewise.llm.oracle import ORACLE
 from slatewise.llm.split_overlap import chained_coverage, split_overlap
 from slatewise.llm.subjects import document_subjects
 from slatewise.llm.term_frequency import TermCounts
@@ -157,4 +158,5 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p1_splits, p1_report, p2_found, p2_counts, p3_found, p3_collapsed, p4_found, p5_found, p6_found, p6_coverage, p6_report, p7_ids, p7_roundtrip, p8_mix, p8_report, p9_found, p9_composition)
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
