@@ -44,22 +44,30 @@ BROADCAST_ROWS = 20_000
 DECORATIONS = (
     "aq", "aqueous", "cat", "catalytic", "sat", "saturated", "dry", "anhydrous", "excess", "degassed", "distilled", "conc",
     "concentrated", "dilute", "fresh", "freshly", "powder", "powdered", "solution", "soln", "monohydrate", "dihydrate", "trihydrate",
-    "hydrate", "hemihydrate", "pellets", "granular", "solid", "neat", "crude", "pure", "reagent grade", "technical", "grade a", "x h2o", "xh2o",
+    "hydrate", "hemihydrate", "pellets", "granular", "solid", "neat", "crude", "pure", "reagent grade", "technical", "grade a", "x[ -]?h2o",
 )
+# Other spellings of the same word.
+SPELLINGS = {"sulph": "sulf", "aluminum": "aluminium", "cesium": "caesium", "hcl salt": "hydrochloride", "hbr salt": "hydrobromide"}
 # An amount or strength, as `2 M`, `10 mol%`, `99%`, `1.5 equiv`.
-AMOUNT = r"[0-9]+([.,][0-9]+)?( ?mol ?%| ?wt ?%| ?vol ?%| ?%| m| n| mm| ml| mg| g| eq| equiv[.]?)(?![a-z0-9])"
+AMOUNT = r"[0-9]+([.,][0-9]+)?([ -]?mol ?%| ?wt ?%| ?vol ?%| ?%|[ -](m|n|mm|ml|mg|g|eq|equiv)[.]?)(?![a-z0-9])"
 
 
 def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _respelled(text: str) -> str:
+    for old, new in SPELLINGS.items():
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
 _FORMS = f"""
   SELECT *, regexp_replace(bare, '[^a-z0-9]', '') AS plain, regexp_replace(cut, '[^a-z0-9]', '') AS stripped,
          array_join(array_sort(filter(split(cut, '[^a-z0-9]+'), w -> w NOT IN ('', 'of'))), '') AS sorted
   FROM (SELECT *, regexp_replace(regexp_replace(bare, {_sql(AMOUNT)}, ' '),
                     {_sql('(?<![a-z0-9])(' + '|'.join(DECORATIONS) + ')(?![a-z0-9])')}, ' ') AS cut
-        FROM (SELECT *, lower(translate(label, '‐‑‒–—−·', '------,')) AS bare FROM {{source}}))
+        FROM (SELECT *, {_respelled(f"lower(regexp_replace(translate(label, '‐‑‒–—−·', '------,'), {_sql('(?:' + BLANK + '|[_/]|,(?=' + BLANK + '))+')}, ' '))")} AS bare FROM {{source}}))
 """
 
 _MAP = """

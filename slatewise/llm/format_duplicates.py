@@ -79,7 +79,7 @@ def combine(old: DataFrame, new: DataFrame) -> DataFrame:
 class DuplicateLedger:
     """Persistent ledger under ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.table = BucketedTable(spark, path, spark.createDataFrame([], SCHEMA).schema, ["key"], buckets)
 
     def apply(self, keyed: DataFrame) -> None:

@@ -39,16 +39,15 @@ MAX_SAMPLES = 10_000
 TERM_SHARE = 1 / 1000
 LEAST_WEIGHT = 0.3
 QUARTER = 0.25
+LEAST_WORDS = 4
 CHUNK = 200_000
 
-# Words that begin a sentence after one that has lost its full stop.
-STARTERS = (
-    "The|This|These|A|An|After|Because|Why|Note|As|For|It|In|On|Over|Last|Before|At|Our|We|Two|Under|Mass|Wear|Store|Delivery|Stock|Purity|"
-    "Baseline|Counsel|Infringement|Patients|Plasma|Nausea|Recall|Memory|Marks|Beginners|Please|Recrystallisation|Workup|Coupling|Nothing|Copied|See|Entry|"
-    "Reference|Overnight|Der|Die|Das|Hinweis|Laut|Siehe|Nach|Seite|Beim|Gegen|Weiteres|Le|La|Les|Un|Une|Selon|Voir|Suite|Exercice"
-)
-_LOST = re.compile(rf"(?<=[a-z0-9)\]])\s+(?=(?:{STARTERS})\b)")
-_END = re.compile(r"(?<=[.!?])\s+|\n+|\s+(?=\d+\)\s)")
+# Words that begin a German sentence after one that has lost its full stop (nouns are capitals too).
+STARTERS = "Der|Die|Das|Hinweis|Laut|Siehe|Nach|Seite|Beim|Gegen|Weiteres|Am|Im|Als"
+_LOST_GERMAN = re.compile(rf"(?<=[a-zäöüß0-9)\]])\s+(?=(?:{STARTERS})\b)")
+_LOST = re.compile(r"(?<=[a-zà-ÿ0-9)\]])\s+(?=[A-ZÀ-Þ][a-zà-ÿ’']*\s)")
+_GERMAN = re.compile(r"\d+\)\s+(der|die|das|ein|eine|im|laut)\s", re.IGNORECASE)
+_END = re.compile(r"(?<=[.!?])\s+|\n+|\s+(?=\d+\)\s)|(?<=\d --)\s+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 
 
@@ -62,15 +61,18 @@ def sentences(text: str) -> list[str]:
     for part in _END.split(text):
         part = part.strip()
         if re.match(r"\d+\)\s", part):
-            found += [x for x in (y.strip() for y in _LOST.split(part, maxsplit=1)) if x]
+            lost = _LOST_GERMAN if _GERMAN.match(part) else _LOST
+            found += [x for x in (y.strip() for y in lost.split(part, maxsplit=1)) if x]
         elif part:
             found.append(part)
     return found
 
 
 def terms(sentence: str) -> set[str]:
-    """Words in lower case, numbers as one sign, and pairs of neighbours."""
+    """Words in lower case, numbers as one sign, and pairs of neighbours; none for scraps of fewer than ``LEAST_WORDS`` words."""
     words = ["0" if w[0].isdigit() else w for w in _WORD.findall(sentence.lower())]
+    if sum(len(w) > 1 for w in words) < LEAST_WORDS:
+        return set()
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 

@@ -52,7 +52,7 @@ def added_up(parts: list[DataFrame]) -> DataFrame:
 class TermCounts:
     """Persistent counts of the terms of ``fields`` under ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, fields: list[str], buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, fields: list[str], buckets: int | None = None):
         schema = spark.createDataFrame([], SCHEMA).schema
         self.fields = fields
         self.table = BucketedTable(spark, path, schema, ["field_name", "term"], buckets)

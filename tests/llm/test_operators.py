@@ -486,7 +486,9 @@ def test_mix_on_the_tables(spark, small):
 def test_sentences():
     got = subjects.sentences("The office -\nsays this. Kali-\nbration fails.\n\n12) the seminar starts The next one ends.\r\nlast")
     assert got == ["The office says this.", "Kalibration fails.", "12) the seminar starts", "The next one ends.", "last"]
-    assert subjects.sentences(" \n ") == [] and subjects.terms("A b 12 b") == {"a", "b", "0", "a b", "b 0", "0 b"}
+    assert subjects.sentences("-- 3/4 -- The end. 3) das Haus brennt Die Uhr steht") == ["-- 3/4 --", "The end.", "3) das Haus brennt", "Die Uhr steht"]
+    assert subjects.sentences(" \n ") == [] and subjects.terms("page 3 of 4") == set()
+    assert subjects.terms("As bb 12 cc dd") == {"as", "bb", "0", "cc", "dd", "as bb", "bb 0", "0 cc", "cc dd"}
 
 
 def test_subjects_held_out(spark, small):
