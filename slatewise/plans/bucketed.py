@@ -17,13 +17,17 @@ BUCKET = "_bucket"
 class BucketedTable:
     """Rows with unique ``keys`` under ``path``, in ``buckets`` folders by key hash.
 
+    A bucket is the work of one task, so by default there are as many as the
+    session has shuffle partitions when the table is made; the manifest keeps their number.
+
     A manifest names the folder of each bucket and holds the sums in
     ``totals``. It is replaced last, by a rename, so that a merge that dies
     leaves the former state whole. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str], buckets: int = 16):
-        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str], buckets: int | None = None):
+        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
