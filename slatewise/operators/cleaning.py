@@ -100,3 +100,64 @@ def nonempty_pairs(df: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]
     """pairs with text on both sides, and the others."""
     good = F.coalesce((F.trim(a) != "") & (F.trim(b) != ""), F.lit(False))
     return df.filter(good), df.filter(~good)
+
+
+def single_step(df: DataFrame, steps: str) -> DataFrame:
+    """rows of one step; a number that cannot be read is none."""
+    return df.filter(F.col(steps).cast("string").try_cast("double") == 1)
+
+
+def positive_temperatures(df: DataFrame, label: str, temperature: str) -> DataFrame:
+    """F16: positives with a finite temperature."""
+    t = F.col(temperature)
+    return df.filter((F.col(label) > 0.5) & t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf")))
+
+
+def reported_families(df: DataFrame, family: str, measures: list[str]) -> DataFrame:
+    """rows of families with any measure other than zero."""
+    some = F.greatest(*(F.max(F.abs(F.coalesce(F.col(m), F.lit(0.0)))) for m in measures), F.lit(0.0))
+    live = df.groupBy(family).agg(some.alias("_most")).filter("_most > 0")
+    return df.join(live.select(family), family, "left_semi")
+
+
+def route_prefix(df: DataFrame, ordinal: str, most: int) -> DataFrame:
+    """The first queries by their dense number; a filter on it, so nothing is sorted."""
+    return df.filter(F.col(ordinal) < most)
+
+
+def merged_names(df: DataFrame, name: str, token: str, score: str, priority: str, overrides: DataFrame | None = None) -> DataFrame:
+    """per lower-case name the token of the highest score, then the lowest source priority, then the least text; overrides win."""
+    rows = df.select(F.lower(F.trim(name)).alias("name"), F.col(token).alias("token"), F.col(score).alias("s"), F.col(priority).alias("p")).filter("name <> '' AND token <> ''")
+    best = rows.groupBy("name").agg(F.min(F.struct((-F.col("s")).alias("s"), "p", "token")).getField("token").alias("token"))
+    if overrides is None:
+        return best
+    fixed = overrides.select(F.lower(F.trim(name)).alias("name"), F.col(token).alias("token"))
+    return best.join(fixed.select("name"), "name", "left_anti").unionByName(fixed)
+
+
+def valid_sides(df: DataFrame, sides: dict[str, str], molecules: DataFrame) -> DataFrame:
+    """rows all of whose sides are valid by a supplied table (raw, is_valid); unknown is invalid."""
+    for side, flag in sides.items():
+        known = molecules.filter("is_valid").select(F.col("raw").alias("_raw")).distinct().withColumn(flag, F.lit(True))
+        df = df.join(known, df[side] == F.col("_raw"), "left").drop("_raw").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return df
+
+
+def product_rows(df: DataFrame, products: str, separator: str = "[.]") -> DataFrame:
+    """V2: one row per product of a row; rows without one vanish."""
+    parts = F.filter(F.split(products, separator), lambda x: x != "")
+    return df.select(*(c for c in df.columns if c != products), F.posexplode(parts).alias("product_number", products))
+
+
+def augmented(df: DataFrame, reactants: str, product: str, n: int, most: int = 1000) -> DataFrame:
+    """V1: up to ``n`` variants of a row, its components in rotated order, and a status for each row that gives none.
+
+    Rotation keeps the molecules as they are; other spellings of a molecule need a provider.
+    """
+    a, b = F.coalesce(F.col(reactants), F.lit("")), F.coalesce(F.col(product), F.lit(""))
+    status = F.when(a == "", "no_reactants").when(b == "", "no_product").when(F.length(a) > most, "long_reactants").when(F.length(b) > most, "long_product").when(a == b, "unchanged").otherwise("ok")
+    parts = F.split(a, "[.]")
+    turns = F.sequence(F.lit(0), F.least(F.size(parts), F.lit(n)) - 1)
+    variant = F.transform(turns, lambda i: F.array_join(F.concat(F.slice(parts, i + 1, F.size(parts) - i), F.slice(parts, F.lit(1), i)), "."))
+    rows = df.withColumn("status", status)
+    return rows.select("*", F.posexplode_outer(F.when(F.col("status") == "ok", variant)).alias("variant", "source"))

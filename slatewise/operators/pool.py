@@ -127,3 +127,28 @@ def refined(df: DataFrame, slate: str, anchor: Column, correction: Column, order
     w, v = Window.partitionBy(slate).orderBy(F.col("refined_score").desc(), *order), Window.partitionBy(slate).orderBy(anchor.desc(), *order)
     both = moved.withColumn("refined_rank", F.row_number().over(w)).withColumn("anchor_rank", F.row_number().over(v))
     return both.filter(F.col("refined_rank") <= cap).withColumn("moved", F.col("refined_rank") != F.col("anchor_rank"))
+
+
+# Parts of a context's score.
+PRIOR_WEIGHT, SIZE_PENALTY, HISTORY_BONUS, SUPPORT_WEIGHT, NOVELTY_PENALTY = 0.05, 0.02, 0.40, 0.15, 0.60
+
+
+def composed_score(reagent: Column, solvent: Column, reagent_prior: Column, solvent_prior: Column, n_reagents: Column, n_solvents: Column, support: Column, historical: Column) -> Column:
+    """Q8: token scores and priors of both sides, a bonus and support for contexts seen before, a penalty for new and for large ones."""
+    size = SIZE_PENALTY * (F.greatest(n_reagents - 1, F.lit(0)) + F.greatest(n_solvents - 1, F.lit(0)))
+    seen = F.when(historical, HISTORY_BONUS + SUPPORT_WEIGHT * support).otherwise(-NOVELTY_PENALTY)
+    return (reagent + solvent) / 2 + PRIOR_WEIGHT * (reagent_prior + solvent_prior) / 2 + seen - size
+
+
+def correction_grid_hits(df: DataFrame, slate: str, score: Column, prior: Column, residual: Column, corrections: DataFrame, weights: DataFrame, tie: list[Column], most: float = 0.5) -> DataFrame:
+    """Q4: hits for every pair of a correction weight ``c`` and a fusion weight ``w``, in one job: score + w * (prior + clip(c * residual))."""
+    if corrections.count() * weights.count() > 10_000:
+        raise ValueError("a grid is small")
+    place = F.row_number().over(Window.partitionBy(slate).orderBy(*tie))
+    base = df.select(slate, "label", score.alias("s"), prior.alias("p"), residual.alias("d"), place.alias("t"))
+    grid = F.broadcast(corrections.crossJoin(weights))
+    value = F.col("s") + F.col("w") * (F.col("p") + F.least(F.greatest(F.col("c") * F.col("d"), F.lit(-most)), F.lit(most)))
+    rows = base.crossJoin(grid).select("c", "w", slate, "label", value.alias("v"), "t")
+    at = rows.withColumn("r", F.row_number().over(Window.partitionBy(slate, "c", "w").orderBy(F.col("v").desc(), "t"))).filter("r <= 10")
+    per = at.groupBy(slate, "c", "w").agg(F.max(F.when(F.col("r") == 1, F.col("label")).otherwise(0)).alias("hit1"), F.max("label").alias("hit10"))
+    return per.groupBy("c", "w").agg(F.sum("hit1").cast("bigint").alias("hit1"), F.sum("hit10").cast("bigint").alias("hit10"))

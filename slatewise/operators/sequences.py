@@ -183,3 +183,22 @@ def encoded_labels(df: DataFrame, row_id: str, tokens: Column, vocabulary: DataF
 def decoded_labels(ids: Column, names: Column) -> Column:
     """Names of ids, those without a name left out."""
     return F.filter(F.transform(ids, lambda i: F.get(names, i)), lambda x: x.isNotNull())
+
+
+def sharded(position: Column, shards: int) -> Column:
+    """The shard of a dense position, round robin."""
+    return F.pmod(position, F.lit(shards)).cast("int")
+
+
+def grouped_batches(position: Column, size: int) -> Column:
+    """The batch of a dense position, ``size`` neighbours each."""
+    return F.floor(position / size).cast("bigint")
+
+
+def concatenated(parts: list[tuple[DataFrame, int]]) -> DataFrame:
+    """Tables one after the other, each repeated a whole number of times, with the number of its part."""
+    out = None
+    for i, (df, times) in enumerate(parts):
+        one = repeated(df, times).withColumn("part", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out

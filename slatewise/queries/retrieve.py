@@ -53,12 +53,11 @@ def vector_scalar_suite(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(F.sqrt(V.dot(e, e)), 6).alias("norm"), F.round(total, 5).alias("unit_sum"), F.round(back, 5).alias("reversed_cosine"))
 
 
-@query("""WITH b AS (SELECT vec_id, list_reduce(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0::HUGEINT END), lambda x, y: x + y) AS w FROM embeddings)
-SELECT p.vec_id AS query_id, q.vec_id AS neighbor_id, round(CASE WHEN (p.w | q.w) = 0 THEN 0 ELSE bit_count(p.w & q.w) / bit_count(p.w | q.w) END, 9) AS similarity FROM b p JOIN b q ON p.vec_id % 50 = 0 AND p.vec_id <> q.vec_id""")
+@query("""WITH b AS (SELECT vec_id, list_reduce(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0::HUGEINT END), lambda x, y: x + y) AS w FROM embeddings),
+n AS (SELECT p.vec_id AS query_id, q.vec_id AS neighbor_id, round(CASE WHEN (p.w | q.w) = 0 THEN 0 ELSE bit_count(p.w & q.w) / bit_count(p.w | q.w) END, 9) AS similarity FROM b p JOIN b q ON p.vec_id % 50 = 0 AND p.vec_id <> q.vec_id)
+SELECT query_id, neighbor_id, similarity, r AS neighbor_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor_id) AS r FROM n WHERE similarity > 0) WHERE r <= 16""")
 def tanimoto_bit_words(t: Tables) -> DataFrame:
     """Packed signs of the stated queries against all rows."""
     on = F.transform(F.filter(F.transform("embedding", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["x"] > 0), lambda p: p["i"])
     rows = t.embeddings.select("vec_id", V.bit_words(on, 1).alias("w"))
-    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("w").alias("a"))
-    pairs = asked.join(rows.withColumnRenamed("vec_id", "neighbor_id"), F.col("query_id") != F.col("neighbor_id"))
-    return pairs.select("query_id", "neighbor_id", F.round(V.tanimoto(F.col("a"), F.col("w")), 9).alias("similarity"))
+    return R.tanimoto_top_k(rows.filter("vec_id % 50 = 0"), rows, "vec_id", "w", 16).withColumn("neighbor_rank", F.col("neighbor_rank").cast("bigint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slatewise import schema
@@ -32,16 +32,13 @@ def condition_rows(spark: SparkSession, path: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with a dense number from 0 in file order: files by name, lines by place.
 
-    A file's partitions are numbered by Spark in order, so only one count per
-    partition is gathered, never the lines.
+    A file is read in blocks, in any order; one count per block is gathered, never the lines.
     """
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    counts = lines.groupBy("file", "p").agg(F.count("*").alias("n"), F.min("m").alias("first"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy().orderBy("file", "first")
-    starts = counts.select("file", "p", "first", (F.sum("n").over(w) - F.col("n")).alias("base"))
-    return lines.join(F.broadcast(starts), ["file", "p"]).select((F.col("base") + F.col("m") - F.col("first")).alias("line"), "value")
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("m"))
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("m").alias("first"))
+    w = Window.partitionBy().orderBy("file", "block")
+    starts = counts.select("file", "block", "first", (F.sum("n").over(w) - F.col("n")).alias("base"))
+    return lines.join(starts, ["file", "block"]).select((F.col("base") + F.col("m") - F.col("first")).alias("line"), "value")
 
 
 def routes_from_split(spark: SparkSession, path: str) -> DataFrame:
@@ -133,8 +130,6 @@ def generation_log(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path).filter(F.col("value").rlike("^[HP]-[0-9]+\t"))
     f = F.split("value", "\t")
     rows = lines.select("line", F.substring("value", 1, 1).alias("kind"), F.regexp_extract("value", "^.-([0-9]+)", 1).cast("bigint").alias("sample"), f.alias("f"))
-    from pyspark.sql import Window
-
     # a hypothesis's scores follow it: both get the same place among their kind within the sample
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("sample", "kind").orderBy("line")))
     h = placed.filter("kind = 'H'").select("sample", "place", "line", F.get("f", F.lit(1)).try_cast("double").alias("score"), F.get("f", F.lit(2)).alias("hypothesis"))

@@ -77,6 +77,18 @@ def test_paired_files(spark, tmp_path):
         S.paired_files(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()
 
 
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("".join(f"{name}{i:05d}\n" for i in range(5000)))
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = S.numbered_lines(spark, str(tmp_path)).orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert [(r["line"], r["value"]) for r in got] == [(i, f"{'ab'[i // 5000]}{i % 5000:05d}") for i in range(10000)]
+
+
 def test_generation_log(spark, tmp_path):
     (tmp_path / "g.txt").write_text("S-0\tx\nH-0\t-0.5\tC C\nP-0\t-1.0 -2.0\nH-0\t-0.7\tC O\nP-0\t-3.0\nE-0_1\tfoo\n")
     rows = S.generation_log(spark, str(tmp_path / "g.txt")).orderBy("line").collect()
