@@ -135,7 +135,7 @@ def p7_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     documents, mix = _table(spark, sf, "documents"), _table(spark, sf, "source_mix")
     wanted = documents.join(F.broadcast(mix.select("source").distinct()), "source", "left_semi").select("doc_id", "source", "text")
-    sized = written(token_counts(wanted).join(wanted.select("doc_id", "source"), "doc_id"), "sized-documents")
+    sized = written(token_counts(wanted, carry=("source",)), "sized-documents")
     return draw(sized, mix)
 
 

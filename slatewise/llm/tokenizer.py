@@ -130,23 +130,24 @@ def dictionary(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return written(bound.select("word", "n", let(F.col("ranks"), lambda r: encode_word(F.col("word"), r)).alias("ids")), "word-ids")
 
 
-def coded_words(texts: DataFrame, key: str, text: str, path: str = VOCABULARY) -> tuple[DataFrame, list[str]]:
-    """``(key, _row, pos, ids)`` per word, null ids for a text without words, and the keys of one text.
+def coded_words(texts: DataFrame, key: str, text: str, path: str = VOCABULARY, carry: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """``(key, carry..., _row, pos, ids)`` per word, null ids for a text without words, and the keys of one text.
 
     Where the dictionary is broadcast, a text's words stay in one partition.
     """
-    base = texts.select(F.col(key), F.col(text).alias("_text"))
+    one = [key, *carry, "_row"]
+    base = texts.select(key, *carry, F.col(text).alias("_text"))
     codes = dictionary(base.select(F.explode(words_of(F.col("_text"))).alias("word")), path)
     size = codes.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 64)).first()[0] or 0
     rows = base.repartition(key).withColumn("_row", F.monotonically_increasing_id())
     if size > BROADCAST_BYTES:
         rows = written(rows, "numbered-texts")
-    words = rows.select(key, "_row", F.posexplode_outer(words_of(F.col("_text"))).alias("pos", "word"))
+    words = rows.select(*one, F.posexplode_outer(words_of(F.col("_text"))).alias("pos", "word"))
     if size <= BROADCAST_BYTES:
-        return words.join(F.broadcast(codes.select("word", "ids")), "word", "left").select(key, "_row", "pos", "ids"), [key, "_row"]
-    coded = join_on_counted(words.filter("word IS NOT NULL"), codes, "word", "n", share=1 / 1000).select(key, "_row", "pos", "ids")
-    without = words.filter("word IS NULL").select(key, "_row", "pos", F.lit(None).cast("array<int>").alias("ids"))
-    return coded.unionByName(without), [key, "_row"]
+        return words.join(F.broadcast(codes.select("word", "ids")), "word", "left").select(*one, "pos", "ids"), one
+    coded = join_on_counted(words.filter("word IS NOT NULL"), codes, "word", "n", share=1 / 1000).select(*one, "pos", "ids")
+    without = words.filter("word IS NULL").select(*one, "pos", F.lit(None).cast("array<int>").alias("ids"))
+    return coded.unionByName(without), one
 
 
 def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -157,10 +158,10 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
     return coded.groupBy(*one).agg(F.flatten(F.transform(in_order, lambda x: F.coalesce(x["ids"], none))).alias("ids")).select(key, "ids")
 
 
-def token_counts(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """``(key, tokens)`` of each text, without building its list."""
-    coded, one = coded_words(texts, key, text, path)
-    return coded.groupBy(*one).agg(F.coalesce(F.sum(F.when(F.col("ids").isNotNull(), F.size("ids"))), F.lit(0)).cast("bigint").alias("tokens")).select(key, "tokens")
+def token_counts(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, carry..., tokens)`` of each text, without building its list."""
+    coded, one = coded_words(texts, key, text, path, carry)
+    return coded.groupBy(*one).agg(F.coalesce(F.sum(F.when(F.col("ids").isNotNull(), F.size("ids"))), F.lit(0)).cast("bigint").alias("tokens")).select(key, *carry, "tokens")
 
 
 def decode(coded: DataFrame, ids: str = "ids", text: str = "text", path: str = VOCABULARY) -> DataFrame:
