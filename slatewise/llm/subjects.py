@@ -24,8 +24,8 @@ texts are used whole, in chunks of sentences; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +41,7 @@ LEAST_WEIGHT = 0.3
 QUARTER = 0.25
 LEAST_WORDS = 4
 CHUNK = 200_000
+ROUND_STEPS, LAST_STEPS = 6, 10
 
 # Words that begin a German sentence after one that has lost its full stop (nouns are capitals too).
 STARTERS = "Der|Die|Das|Hinweis|Laut|Siehe|Nach|Seite|Beim|Gegen|Weiteres|Am|Im|Als"
@@ -68,15 +69,66 @@ def sentences(text: str) -> list[str]:
     return found
 
 
-def terms(sentence: str) -> set[str]:
-    """Words in lower case, numbers as one sign, and pairs of neighbours; none for scraps of fewer than ``LEAST_WORDS`` words."""
-    words = ["0" if w[0].isdigit() else w for w in _WORD.findall(sentence.lower())]
-    if sum(len(w) > 1 for w in words) < LEAST_WORDS:
-        return set()
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def fold_in(flat: np.ndarray, lengths: np.ndarray, profiles: np.ndarray, start: np.ndarray | None = None, steps: int = 12) -> np.ndarray:
+_SEEN: dict[str, int] = {}
+
+
+def _word_hash(word: str) -> int:
+    found = _SEEN.get(word)
+    if found is None:
+        found = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        if len(_SEEN) < 1_000_000:  # a worker's memory, not its result
+            _SEEN[word] = found
+    return found
+
+
+def terms(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Term hashes of all sentences, one after the other, and how many each has.
+
+    Terms are the distinct words in lower case, numbers as one sign, and pairs of neighbours;
+    a scrap of fewer than ``LEAST_WORDS`` words has none. Hashes have 64 bits.
+    """
+    flat, counts, real = [], [], []
+    for text in texts:
+        for sentence in text:
+            words = _WORD.findall(sentence.lower())
+            counts.append(len(words))
+            real.append(sum(len(w) > 1 and not w[0].isdigit() for w in words) >= LEAST_WORDS)
+            flat += words
+    counts, real = np.array(counts, np.int64), np.array(real, bool)
+    n = len(counts)
+    if not flat:
+        return np.zeros(0, np.int64), np.zeros(n, np.int64)
+    number = _word_hash("0")
+    words = np.array([number if w[0].isdigit() else _word_hash(w) for w in flat], np.uint64)
+    own = np.repeat(np.arange(n), counts)
+    pair = own[1:] == own[:-1]
+    pairs = _mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] + np.uint64(1))[pair]
+    every, where = np.concatenate([words, pairs]), np.concatenate([own, own[1:][pair]])
+    every, where = every[real[where]].view(np.int64), where[real[where]]
+    order = np.lexsort((every, where))
+    every, where = every[order], where[order]
+    new = np.ones(len(every), bool)
+    new[1:] = (every[1:] != every[:-1]) | (where[1:] != where[:-1])
+    return every[new], np.bincount(where[new], minlength=n)
+
+
+def numbered(hashes: np.ndarray, lengths: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the known terms among sorted ``kept`` hashes, and how many each sentence has."""
+    if not len(kept) or not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
+    at = np.minimum(np.searchsorted(kept, hashes), len(kept) - 1)
+    known = kept[at] == hashes
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    return at[known], np.bincount(own[known], minlength=len(lengths))
+
+
+def fold_in(flat: np.ndarray, lengths: np.ndarray, profiles: np.ndarray, start: np.ndarray | None = None, steps: int = 10) -> np.ndarray:
     """Mixtures (sentences x components) of sentences given as runs of term numbers."""
     k = profiles.shape[0]
     mix = np.full((len(lengths), k), 1 / k, np.float32) if start is None else start.astype(np.float32)
@@ -108,36 +160,28 @@ def normal(profiles: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Terms, their numbers, component profiles, and the labelled sentences."""
+    """Known terms, component profiles, and the labelled sentences."""
 
-    def __init__(self, samples: list[tuple[str, list[str]]], subjects: list[str], corpus_terms: set[str], steps: int = 25):
-        rows, masks, found = [], [], Counter()
-        for text, labels in samples:
+    def __init__(self, samples: list[tuple[str, list[str]]], subjects: list[str], corpus_terms: np.ndarray, steps: int = 25):
+        cut = [sentences(text) for text, _ in samples]
+        hashes, lengths = terms(cut)
+        masks = []
+        for own, (_, labels) in zip(cut, samples, strict=True):
             allowed = np.full(len(subjects) + 1, 1e-3, np.float32)
             allowed[[*(subjects.index(x) for x in labels if x in subjects), len(subjects)]] = 1
-            for s in sentences(text):
-                own = terms(s)
-                rows.append(own)
-                masks.append(allowed)
-                found.update(own)
-        kept = sorted({t for t, n in found.items() if n >= 2} | corpus_terms)
-        self.subjects, self.numbers = subjects, {t: i for i, t in enumerate(kept)}
-        self.flat, self.lengths = self.numbered(rows)
+            masks += [allowed] * len(own)
+        found, n = np.unique(hashes, return_counts=True)
+        self.kept = np.union1d(found[n >= 2], corpus_terms)
+        self.flat, self.lengths = numbered(hashes, lengths, self.kept)
         self.masks = np.array(masks, np.float32).reshape(-1, len(subjects) + 1)
         self.masks /= self.masks.sum(1, keepdims=True)
-        sums = np.zeros((len(subjects) + 1, len(kept)))
-        own = np.repeat(np.arange(len(rows)), self.lengths)
-        for j in range(len(sums)):
-            sums[j] = np.bincount(self.flat, self.masks[own, j], len(kept)) if len(kept) else 0
+        own = np.repeat(np.arange(len(masks)), self.lengths)
+        sums = np.stack([np.bincount(self.flat, self.masks[own, j], len(self.kept)) for j in range(len(subjects) + 1)])
         self.profiles, mix = normal(sums), self.masks
         for _ in range(steps):
             mix = fold_in(self.flat, self.lengths, self.profiles, mix, 1)
             self.profiles = normal(profile_sums(self.flat, self.lengths, mix, self.profiles))
 
-    def numbered(self, rows: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        found = [sorted(n for t in row if (n := self.numbers.get(t)) is not None) for row in rows]
-        return np.array([n for row in found for n in row], np.int32), np.array([len(row) for row in found], np.int64)
-
     def blend(self, corpus: np.ndarray) -> None:
         """New profiles from the samples' sums and the corpus's, at equal weight."""
         mix = fold_in(self.flat, self.lengths, self.profiles, self.masks, 10)
@@ -146,17 +190,17 @@ class Model:
         self.profiles = normal(own + corpus * scale)
 
 
-def _chunks(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs of whole sentences of at most about CHUNK terms."""
+def _chunks(batch: pd.DataFrame, kept: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of whole sentences of at most about CHUNK terms, as numbers of known terms."""
     if not len(batch):
         return
-    flat, lengths = np.concatenate([np.asarray(x, np.int32) for x in batch["flat"]]), np.concatenate([np.asarray(x, np.int64) for x in batch["lengths"]])
+    hashes, lengths = np.concatenate([np.asarray(x, np.int64) for x in batch["hashes"]]), np.concatenate([np.asarray(x, np.int64) for x in batch["lengths"]])
     ends = np.cumsum(lengths)
     first = 0
     while first < len(lengths):
         base = ends[first - 1] if first else 0
         last = max(int(np.searchsorted(ends, base + CHUNK, "right")), first + 1)
-        yield flat[base : ends[last - 1]], lengths[first:last]
+        yield numbered(hashes[base : ends[last - 1]], lengths[first:last], kept)
         first = last
 
 
@@ -165,31 +209,25 @@ def document_subjects(documents: DataFrame, samples: DataFrame, subjects: list[s
     spark = documents.sparkSession
     texts = documents.select(F.col(key).cast("bigint").alias("id"), "text").filter("text IS NOT NULL")
 
-    def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hash_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen = Counter(t for text in batch["text"] for t in set().union(*map(terms, sentences(text))))
-            if seen:
-                yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+            if not len(batch):
+                continue
+            cut = [sentences(t) for t in batch["text"]]
+            hashes, lengths = terms(cut)
+            after = np.cumsum([len(c) for c in cut])  # sentences up to each document
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            yield pd.DataFrame({"id": batch["id"].to_numpy(), "hashes": np.split(hashes, ends[after[:-1]]), "lengths": np.split(lengths.astype(np.int32), after[:-1])})
 
+    matrix = written(texts.mapInPandas(hash_terms, "id bigint, hashes array<bigint>, lengths array<int>"), "sentence-terms")
     labelled = [(r["text"] or "", list(r["subjects"] or [])) for r in samples.select("text", "subjects").orderBy("text").limit(MAX_SAMPLES).collect()]
-    total = texts.count()
-    counted = texts.select("text").mapInPandas(count_terms, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    # at most (terms of a document on average) / TERM_SHARE
-    common = {r["term"] for r in counted.filter(F.col("n") >= max(3, total * TERM_SHARE)).select("term").collect()} if labelled else set()
+    common = np.zeros(0, np.int64)
+    if labelled:
+        each = matrix.select(F.explode(F.array_distinct("hashes")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+        # at most (terms of a document on average) / TERM_SHARE
+        common = each.filter(F.col("n") >= max(3, matrix.count() * TERM_SHARE)).select("term").toPandas()["term"].to_numpy(np.int64)
     model = Model(labelled, subjects, common)
-    held = spark.sparkContext.broadcast(model.numbers)
-
-    def number_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = held.value
-        for batch in batches:
-            out = []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                rows = [[n for t in terms(s) if (n := numbers.get(t)) is not None] for s in sentences(text)]
-                out.append((i, [n for row in rows for n in row], [len(row) for row in rows]))
-            if out:
-                yield pd.DataFrame(out, columns=["id", "flat", "lengths"])
-
-    matrix = written(texts.mapInPandas(number_terms, "id bigint, flat array<int>, lengths array<int>"), "sentence-terms")
+    kept = spark.sparkContext.broadcast(model.kept)
     for _ in range(rounds if labelled else 0):
         now = spark.sparkContext.broadcast(model.profiles)
 
@@ -197,13 +235,13 @@ def document_subjects(documents: DataFrame, samples: DataFrame, subjects: list[s
             profiles = now.value
             sums = np.zeros(profiles.shape)
             for batch in batches:
-                for flat, lengths in _chunks(batch):
-                    sums += profile_sums(flat, lengths, fold_in(flat, lengths, profiles, steps=8), profiles)
+                for flat, lengths in _chunks(batch, kept.value):
+                    sums += profile_sums(flat, lengths, fold_in(flat, lengths, profiles, steps=ROUND_STEPS), profiles)
             at = np.flatnonzero(sums.sum(0))
             if len(at):
                 yield pd.DataFrame({"term": at.astype(np.int32), "sums": list(sums[:, at].T)})
 
-        rows = matrix.select("flat", "lengths").mapInPandas(add_up, "term int, sums array<double>")
+        rows = matrix.select("hashes", "lengths").mapInPandas(add_up, "term int, sums array<double>")
         columns = [F.sum(F.get("sums", F.lit(j))).alias(f"c{j}") for j in range(len(subjects) + 1)]
         found = rows.groupBy("term").agg(*columns).toPandas()
         corpus = np.zeros(model.profiles.shape)
@@ -214,11 +252,11 @@ def document_subjects(documents: DataFrame, samples: DataFrame, subjects: list[s
     def name_subjects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiles = last.value
         for batch in batches:
-            parts = [fold_in(flat, lengths, profiles) for flat, lengths in _chunks(batch)]
+            parts = [(fold_in(flat, lengths, profiles, steps=LAST_STEPS), lengths) for flat, lengths in _chunks(batch, kept.value)]
             if not parts:
                 continue
-            mix, lengths = np.concatenate(parts)[:, :-1], np.concatenate([np.asarray(x, np.int64) for x in batch["lengths"]])
-            best = np.where((lengths > 0) & (mix.max(1) >= LEAST_WEIGHT), mix.argmax(1), len(subjects))
+            mix, known = np.concatenate([m for m, _ in parts])[:, :-1], np.concatenate([n for _, n in parts])
+            best = np.where((known > 0) & (mix.max(1) >= LEAST_WEIGHT), mix.argmax(1), len(subjects))
             per = batch["lengths"].map(len).to_numpy()
             share = np.zeros((len(batch), len(subjects) + 1))
             np.add.at(share, (np.repeat(np.arange(len(batch)), per), best), 1)

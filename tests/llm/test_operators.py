@@ -7,6 +7,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -429,6 +430,8 @@ def test_ids_and_round_trip(spark, monkeypatch, most):
     assert sorted((r["doc_id"], r["ids"], r["text"]) for r in got) == want
     assert sorted(rows(tokenizer.token_counts(table))) == sorted({(i, len(ids)) for i, ids, _ in want})
     assert tokenizer.encode(table.limit(0)).count() == 0
+    carried = tokenizer.token_counts(table.withColumn("source", F.lit("s")), carry=("source",))
+    assert carried.columns == ["doc_id", "source", "tokens"] and carried.count() == len(want)
 
 
 @needs_vocabulary
@@ -487,8 +490,19 @@ def test_sentences():
     got = subjects.sentences("The office -\nsays this. Kali-\nbration fails.\n\n12) the seminar starts The next one ends.\r\nlast")
     assert got == ["The office says this.", "Kalibration fails.", "12) the seminar starts", "The next one ends.", "last"]
     assert subjects.sentences("-- 3/4 -- The end. 3) das Haus brennt Die Uhr steht") == ["-- 3/4 --", "The end.", "3) das Haus brennt", "Die Uhr steht"]
-    assert subjects.sentences(" \n ") == [] and subjects.terms("page 3 of 4") == set()
-    assert subjects.terms("As bb 12 cc dd") == {"as", "bb", "0", "cc", "dd", "as bb", "bb 0", "0 cc", "cc dd"}
+    assert subjects.sentences(" \n ") == []
+
+
+def test_terms_of_sentences():
+    hashes, counts = subjects.terms([["page 3 of 4", "As bb 12 cc dd"], [], ["AS BB 7 cc dd as bb", ""]])
+    # words and pairs; scraps have none; repeats count once; numbers are alike
+    assert counts.tolist() == [0, 9, 10, 0] and len(hashes) == 19
+    assert set(hashes[:9].tolist()) <= set(hashes[9:].tolist())
+    assert subjects.terms([])[1].tolist() == [] and subjects.terms([[""]])[1].tolist() == [0]
+    kept = np.unique(hashes[:9])
+    numbers, known = subjects.numbered(hashes, counts, kept)
+    assert known.tolist() == [0, 9, 9, 0] and len(numbers) == 18
+    assert subjects.numbered(hashes, counts, kept[:0])[1].tolist() == [0, 0, 0, 0]
 
 
 def test_subjects_held_out(spark, small):
