@@ -41,7 +41,7 @@ from slatewise.functions.text import drop_blank
 from slatewise.shared import written
 
 PIECE, SEED, WINDOW, SHORT, SHARE = 5, 14, 4, 50, 0.65
-HEAVY = 10_000
+HEAVY, SIEVE = 10_000, 16
 CHUNK = 1_000_000
 
 
@@ -193,8 +193,10 @@ def candidates(train: DataFrame, evaluation: DataFrame, keep_t: list[str], keep_
     t = written(seed_rows(train, "train", keep_t, within, short), "train-seeds")
     e = seed_rows(evaluation, "evaluation", keep_e, within, short)
     least = max(256, t.count() // HEAVY)
-    # at most HEAVY seeds can be held so often
-    heavy = F.broadcast(written(t.groupBy("key").agg(F.ceil(F.count("*") / F.lit(least)).cast("int").alias("salts")).filter("salts > 1"), "heavy-seeds"))
+    # seeds held that often, at most about HEAVY; found among one value in SIEVE, as they only shape the
+    # plan: a seed that is missed, or salted needlessly, meets the same partners
+    sieved = t.filter(F.pmod(F.xxhash64(*keep_t), F.lit(SIEVE)) == 0).groupBy("key").agg((F.count("*") * SIEVE).alias("held"))
+    heavy = F.broadcast(written(sieved.filter(F.col("held") >= least).select("key", F.ceil(F.col("held") / F.lit(least)).cast("int").alias("salts")), "heavy-seeds"))
     salt_t = F.pmod(F.xxhash64(*keep_t), F.coalesce("salts", F.lit(1))).cast("int")
     t = t.join(heavy, "key", "left").select("key", salt_t.alias("salt"), *[F.col(c).alias(f"t_{c}") for c in [*keep_t, "n", "b0", "b1", "b2", "b3"]])
     e = e.join(heavy, "key", "left").select("key", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), *[F.col(c).alias(f"e_{c}") for c in [*keep_e, "n", "b0", "b1", "b2", "b3"]])
@@ -251,10 +253,12 @@ def overlapping_values(records: DataFrame) -> DataFrame:
     near = found.join(text.select(F.col("vid").alias("t_vid"), F.col("value").alias("t_product")), "t_vid").join(text.select(F.col("vid").alias("e_vid"), F.col("value").alias("e_product")), "e_vid")
     near = written(near.filter(almost_equal(F.col("t_product"), F.col("e_product"))).select("t_product", "e_product"), "near-products")
 
-    routes = records.select("side", "product", F.col("route").alias("value")).distinct()
-    of_train = routes.filter("side = 'train'").join(near.select(F.col("t_product").alias("product")).distinct(), "product", "left_semi")
-    of_train = of_train.select(F.xxhash64("product").alias("t_group"), F.col("product").alias("t_product"), "value")
-    of_evaluation = routes.filter("side = 'evaluation'").join(near.withColumnRenamed("e_product", "product"), "product").select(F.xxhash64("t_product").alias("t_group"), "t_product", F.col("product").alias("e_product"), "value")
+    near_e = near.withColumnRenamed("e_product", "product")
+    of_train = records.filter("side = 'train'").join(near.select(F.col("t_product").alias("product")).distinct(), "product", "left_semi")
+    of_evaluation = records.filter("side = 'evaluation'").join(near_e.select("product").distinct(), "product", "left_semi")
+    of_train = of_train.select(F.col("product").alias("t_product"), F.col("route").alias("value")).distinct().select(F.xxhash64("t_product").alias("t_group"), "t_product", "value")
+    of_evaluation = of_evaluation.select("product", F.col("route").alias("value")).distinct().join(near_e, "product")
+    of_evaluation = of_evaluation.select(F.xxhash64("t_product").alias("t_group"), "t_product", F.col("product").alias("e_product"), "value")
     # a product can hold a third of all routes: they are spread before they are described
     t_rows, e_rows = written(described(of_train.repartition("t_group", "value")), "train-routes"), written(described(of_evaluation.repartition("t_group", "value")), "evaluation-routes")
     pairs = candidates(t_rows, e_rows, ["vid"], ["vid"], ["t_group"])
