@@ -45,8 +45,9 @@ ROUND_STEPS, LAST_STEPS = 6, 10
 
 # Words that begin a German sentence after one that has lost its full stop (nouns are capitals too).
 STARTERS = "Der|Die|Das|Hinweis|Laut|Siehe|Nach|Seite|Beim|Gegen|Weiteres|Am|Im|Als"
-_LOST_GERMAN = re.compile(rf"(?<=[a-zäöüß0-9)\]])\s+(?=(?:{STARTERS})\b)")
-_LOST = re.compile(r"(?<=[a-zà-ÿ0-9)\]])\s+(?=[A-ZÀ-Þ][a-zà-ÿ’']*\s)")
+_AFTER = r"(?:(?<=[a-zà-ÿ0-9)\]])|(?<=°C)|(?<=[A-Z0-9]{2}))\s+"
+_LOST_GERMAN = re.compile(rf"{_AFTER}(?=(?:{STARTERS})\b)")
+_LOST = re.compile(rf"{_AFTER}(?=[A-ZÀ-Þ][a-zà-ÿ’']+[\s:,]|A [a-z])")
 _GERMAN = re.compile(r"\d+\)\s+(der|die|das|ein|eine|im|laut)\s", re.IGNORECASE)
 _END = re.compile(r"(?<=[.!?])\s+|\n+|\s+(?=\d+\)\s)|(?<=\d --)\s+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
@@ -57,6 +58,7 @@ def sentences(text: str) -> list[str]:
     text = text.replace("\r\n", "\n").replace("﻿", "").replace("​", "")
     text = re.sub(r"(\w)-\n(?=\w)", r"\1", text)
     text = re.sub(r"\s-\n", " ", text)
+    text = re.sub(r"(# [a-z]+)\s+(?=\S)", r"\1\n\n", text)  # a line of code ends with its remark
     text = re.sub(r"(?<![\n.!?])\n(?!\n)(?=[^\W\d_A-ZÀ-ÞŒ])", " ", text)
     found = []
     for part in _END.split(text):

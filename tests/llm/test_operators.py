@@ -490,6 +490,8 @@ def test_sentences():
     got = subjects.sentences("The office -\nsays this. Kali-\nbration fails.\n\n12) the seminar starts The next one ends.\r\nlast")
     assert got == ["The office says this.", "Kalibration fails.", "12) the seminar starts", "The next one ends.", "last"]
     assert subjects.sentences("-- 3/4 -- The end. 3) das Haus brennt Die Uhr steht") == ["-- 3/4 --", "The end.", "3) das Haus brennt", "Die Uhr steht"]
+    assert subjects.sentences("5) it was warmed to 80 °C  As noted, it fell. 6) IT IS A TEST") == ["5) it was warmed to 80 °C", "As noted, it fell.", "6) IT IS A TEST"]
+    assert subjects.sentences("x = [y]  # sharp Note: it runs.") == ["x = [y]  # sharp", "Note: it runs."]
     assert subjects.sentences(" \n ") == []
 
 
