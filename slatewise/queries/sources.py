@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.functions import labels as L
+from slatewise.functions.text import BLANK
 from slatewise.operators.features import distinct_mapped
 from slatewise.provider import supplied_keys
-from slatewise.registry import Tables, query, sql_tokens
+from slatewise.registry import SQL_BLANK, Tables, query, sql_tokens
 from slatewise.shared import new_folder
 from slatewise.sources import readers as S
 from slatewise.sources import sinks as K
@@ -118,6 +119,16 @@ def stream_windows(t: Tables) -> DataFrame:
 
 @query("SELECT row_id, regexp_replace(regexp_replace(trim(reagent_norm, ' '), '\\s+(mono|di|tri|tetra|penta|hexa|hepta|octa|nona|deca|)hydrate', '', 'gi'), '\\s+', ' ', 'g') AS standard FROM condition_rows WHERE reagent_norm IS NOT NULL AND reagent_norm <> '' AND lower(trim(reagent_norm, ' ')) NOT IN ('nan', 'none', 'not given', 'unknown', '-') AND NOT regexp_matches(reagent_norm, '\\([ivxlIVXL]+\\)|[?]|hydrate *$')")
 def hydrate_strip(t: Tables) -> DataFrame:
-    """F6, on labels without numbers in brackets; their repair is held by tests."""
+    """F6, on cells that need no repair and do not end in a hydrate word, as its SQL has it; ``hydrate_standard`` runs over all cells."""
     rows = t.condition_rows.filter("reagent_norm <> ''").filter(~L.is_missing(F.col("reagent_norm"))).filter(~F.col("reagent_norm").rlike(r"\([ivxlIVXL]+\)|[?]|hydrate *$"))
     return rows.select("row_id", L.standard_label(F.col("reagent_norm")).alias("standard"))
+
+
+@query(rf"""WITH b AS (SELECT row_id, trim(regexp_replace(reagent_norm, '{SQL_BLANK}', ' ', 'g'), ' ') AS x FROM condition_rows WHERE reagent_norm IS NOT NULL AND reagent_norm <> ''),
+c AS (SELECT row_id, replace(x, '?', '-') AS x FROM b WHERE lower(x) NOT IN ('nan', 'none', 'not given', 'unknown', '-')),
+r AS (SELECT row_id, list_reduce(list_distinct(regexp_extract_all(x, '\([ivxlIVXL]+\)')), lambda acc, y: replace(acc, y, upper(translate(y, 'lL', 'II'))), x) AS x FROM c)
+SELECT row_id, regexp_replace(trim(regexp_replace(x, ' +(mono|di|tri|tetra|penta|hexa|hepta|octa|nona|deca|)hydrate', '', 'gi'), ' '), ' +', ' ', 'g') AS standard FROM r""")
+def hydrate_standard(t: Tables) -> DataFrame:
+    """all cells that are not missing, any Unicode blank being one, with the repair of ``?`` and of numbers in brackets and with hydrate words anywhere."""
+    rows = t.condition_rows.filter("reagent_norm <> ''").select("row_id", F.regexp_replace("reagent_norm", BLANK, " ").alias("cell"))
+    return rows.filter(~L.is_missing(F.col("cell"))).select("row_id", L.standard_label(F.col("cell")).alias("standard"))

@@ -1,10 +1,12 @@
 """Hand-computed cases of the rules on order, ties and missing values."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from slatewise import catalog
 from slatewise.functions import labels as L
 from slatewise.functions import numbers as N
 from slatewise.functions import vectors as V
@@ -179,3 +181,25 @@ def test_subgroups_without_rows_are_null(spark):
 def test_let_binds_once(spark):
     df = spark.createDataFrame([(3,)], "x int")
     assert df.select(let(F.col("x") + 1, lambda v: v * v).alias("y")).first()["y"] == 16
+
+
+def test_hydrate_standard_covers_every_cell(spark, small):
+    def standard(x):
+        x = x.strip().replace("?", "-")
+        x = re.sub(r"\([ivxl]+\)", lambda m: m.group(0).replace("l", "I").replace("L", "I").upper(), x, flags=re.I)
+        for word in (*L.HYDRATES[:-1], ""):
+            x = re.sub(rf"\s+{word}hydrate", "", x, flags=re.I)
+        return re.sub(r"\s+", " ", x.strip())
+
+    cells = {r[0]: r[1] for r in spark.read.parquet(f"{small}/condition_rows.parquet").select("row_id", "reagent_norm").collect()}
+    wanted = {i: standard(x) for i, x in cells.items() if x and x.strip().lower() not in ("nan", "none", "not given", "unknown", "-")}
+    got = {r["row_id"]: r["standard"] for r in catalog.QUERIES["hydrate_standard"](spark, small).collect()}
+    assert got == wanted
+    assert any(re.search(r"\([ivxl]+\)|[?]", cells[i], re.I) for i in got)
+
+
+def test_hydrate_standard_repairs_and_strips(spark, tmp_path):
+    cells = ["copper(l) iodide", "cerium(iii) chloride; nickel(iI) acetate", "beta?x", "zinc acetate Dihydrate", "a hydrate; b  monohydrate ", "x(ab)", " - ", "", None, "\u00a0zinc\u2009bromide\u00a0dihydrate"]
+    spark.createDataFrame(list(enumerate(cells)), "row_id int, reagent_norm string").write.parquet(str(tmp_path / "condition_rows.parquet"))
+    got = {r["row_id"]: r["standard"] for r in catalog.QUERIES["hydrate_standard"](spark, str(tmp_path)).collect()}
+    assert got == {0: "copper(I) iodide", 1: "cerium(III) chloride; nickel(II) acetate", 2: "beta-x", 3: "zinc acetate", 4: "a; b", 5: "x(ab)", 9: "zinc bromide"}
