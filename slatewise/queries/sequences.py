@@ -74,11 +74,18 @@ def array_token_suite(t: Tables) -> DataFrame:
 
 @query(f"WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents) SELECT doc_id, i::INT AS pos, array_to_string(w[greatest(i - 3, 0) + 1 : i], ' ') AS before FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d WHERE len(w) <= 60)")
 def context_windows(t: Tables) -> DataFrame:
-    """Up to three words before each word, in texts of at most 60 words."""
+    """Up to three words before each word, in texts of at most 60 words; ``context_windows_all`` takes texts of any length."""
     d = S.length_filtered(t.documents.select("doc_id", _words().alias("w")), "w", 60)
     return d.select("doc_id", F.posexplode(S.context_windows(F.col("w"), 3)).alias("pos", "x")).select("doc_id", "pos", F.array_join("x", " ").alias("before"))
 
 
+@query(f"WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents) SELECT doc_id, i::INT AS pos, array_to_string(w[greatest(i - 3, 0) + 1 : i], ' ') AS before FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)")
+def context_windows_all(t: Tables) -> DataFrame:
+    """Up to three words before each word, in all texts."""
+    d = t.documents.select("doc_id", _words().alias("w"))
+    return d.select("doc_id", F.posexplode(S.context_windows(F.col("w"), 3)).alias("pos", "x")).select("doc_id", "pos", F.array_join("x", " ").alias("before"))
+
+
 @query()
 def token_budget_batches(t: Tables) -> DataFrame:
     """Greedy, so there is no SQL twin. A part is a slice of 1,000 neighbouring documents of a source."""

@@ -203,3 +203,11 @@ def test_hydrate_standard_repairs_and_strips(spark, tmp_path):
     spark.createDataFrame(list(enumerate(cells)), "row_id int, reagent_norm string").write.parquet(str(tmp_path / "condition_rows.parquet"))
     got = {r["row_id"]: r["standard"] for r in catalog.QUERIES["hydrate_standard"](spark, str(tmp_path)).collect()}
     assert got == {0: "copper(I) iodide", 1: "cerium(III) chloride; nickel(II) acetate", 2: "beta-x", 3: "zinc acetate", 4: "a; b", 5: "x(ab)", 9: "zinc bromide"}
+
+
+def test_context_windows_of_long_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(500)]
+    texts = ["a b  c", " ".join(words), "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["pos"]): r["before"] for r in catalog.QUERIES["context_windows_all"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): "", (0, 1): "a", (0, 2): "a b"} | {(1, i): " ".join(words[max(i - 3, 0) : i]) for i in range(500)}
