@@ -53,7 +53,7 @@ def exact_subsample(t: Tables) -> DataFrame:
 def weighted_resample(t: Tables) -> DataFrame:
     """As many draws as documents, weighted by length; the blocks are Spark's hashes."""
     d = t.documents.filter("n_chars > 0").select("doc_id", "n_chars")
-    return S.resampled(d, "doc_id", "n_chars", 1000)
+    return S.resampled(d, "doc_id", "n_chars", t.documents.count())
 
 
 @query(f"""WITH d AS (SELECT doc_id, list_transform({_WORDS}, lambda x: length(x)) AS a FROM documents)

@@ -211,3 +211,14 @@ def test_context_windows_of_long_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["doc_id"], r["pos"]): r["before"] for r in catalog.QUERIES["context_windows_all"](spark, str(tmp_path)).collect()}
     assert got == {(0, 0): "", (0, 1): "a", (0, 2): "a b"} | {(1, i): " ".join(words[max(i - 3, 0) : i]) for i in range(500)}
+
+
+def test_weighted_resample_draws_as_often_as_there_are_documents(spark, tmp_path):
+    for n in (7, 2500):
+        docs = [(i, i % 5 * 10) for i in range(n - 1)] + [(n - 1, None)]
+        spark.createDataFrame(docs, "doc_id long, n_chars long").write.parquet(str(tmp_path / f"{n}" / "documents.parquet"))
+        got = {r["doc_id"]: r["times"] for r in catalog.QUERIES["weighted_resample"](spark, str(tmp_path / f"{n}")).collect()}
+        weight = sum(w or 0 for _, w in docs)
+        assert sum(got.values()) == n
+        # systematic draws: each document is drawn its share of n, rounded up or down
+        assert all(abs(got.get(i, 0) - n * (w or 0) / weight) < 1 for i, w in docs)
