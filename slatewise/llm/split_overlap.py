@@ -16,9 +16,10 @@ values; distinct values only, so that copies are not multiplied. Within the join
 exact upper bound of the overlap, from 256-bit maps of the pieces, drops
 nearly all false ones before anything is shuffled. Seeds held by many train
 values are salted. Products are compared first; routes only within
-pairs of almost equal products. Shared seeds are chained in order of their places
-(greedy, collinear), extended along their diagonals, and the share of an evaluation
-value's places so aligned is its coverage. The 65 % rule is then checked exactly.
+pairs of almost equal products. For an evaluation value and each of its components the
+longest collinear chain of seeds, over all their places in the train value, is extended
+along its diagonals, and the share of the value's places so aligned is its coverage; what
+has under SEED signs has its pieces for seeds. The 65 % rule is checked exactly.
 
 Defined cases: null, empty, blank or dots-only values and null or other splits
 give no case; repeated rows each give their pairs; component order does not
@@ -28,6 +29,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -35,6 +37,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from slatewise.functions.let import let
 from slatewise.functions.text import drop_blank
@@ -218,26 +221,74 @@ def almost_equal(a: Column, b: Column) -> Column:
     return F.when(a == b, True).otherwise(let(sizes, lambda s: s["common"] * 100 >= (s["both"] - s["common"]) * round(SHARE * 100)))
 
 
-def chained_coverage(value: Column, train_value: Column) -> Column:
-    """Share of ``value``'s places aligned with ``train_value`` along the diagonals of chained seeds."""
-
-    def at(v: Column, n: int) -> Column:
-        return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(v) - (n - 1)))
-
-    def seed_at(v: Column, i: Column) -> Column:
-        return F.substring(v, i, F.lit(SEED))
+def longest_chain(runs: list[str], places: dict[str, list[int]], end: int) -> list[tuple[int, int]]:
+    """The longest chain of (index of a run, place below ``end`` where it stands), both strictly increasing.
 
-    def diagonals(other: Column) -> Column:
-        places = F.transform(at(value, SEED), lambda i: F.struct(i.alias("i"), F.array_position(other, seed_at(value, i)).cast("int").alias("j")))
-        start = F.struct(F.lit(0).alias("j"), F.array().cast("array<int>").alias("diagonals"))
-        further = lambda acc, p: F.struct(p["j"].alias("j"), F.array_union(acc["diagonals"], F.array(p["j"] - p["i"])).alias("diagonals"))
-        return F.aggregate(F.filter(places, lambda p: p["j"] > 0), start, lambda acc, p: F.when(p["j"] > acc["j"], further(acc, p)).otherwise(acc), lambda acc: acc["diagonals"])
+    A longest common subsequence, bit-parallel: one number of ``end`` bits per run, whatever the repeats.
+    """
+    full, state, states = (1 << end) - 1, (1 << end) - 1, []
+    masks: dict[str, int] = {}
+    for run in runs:
+        if run not in masks:
+            masks[run] = sum(1 << j for j in places.get(run, ()))
+        held = state & masks[run]
+        state = ((state + held) | (state - held)) & full
+        states.append(state)
+    chain, i, j = [], len(runs) - 1, end - 1
+    while i >= 0 and j >= 0:
+        if states[i] >> j & 1:
+            j -= 1
+        elif i and not states[i - 1] >> j & 1:
+            i -= 1
+        else:
+            chain.append((i, j))
+            i, j = i - 1, j - 1
+    return chain[::-1]
+
+
+def _places(text: str, n: int) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for j in range(len(text) - n + 1):
+        out.setdefault(text[j : j + n], []).append(j)
+    return out
+
+
+def coverage(value: str, train_value: str) -> float:
+    """Share of ``value``'s places aligned with ``train_value`` along the diagonals of its components' chains.
+
+    The value and each of its components are chained, with all places of their seeds in ``train_value``, so that a
+    component that moved is found. What has fewer than SEED signs has its pieces for seeds.
+    """
+    held = {n: _places(train_value, n) for n in (SEED, PIECE)}
+    whole: dict[str, list[int]] = {}
+    start = 0
+    for c in train_value.split("."):
+        whole.setdefault(c, []).append(start)
+        start += len(c) + 1
+    diagonals: dict[int, None] = {}
+    parts = value.split(".")
+    starts = [0, *itertools.accumulate(len(c) + 1 for c in parts[:-1])]
+    # the value as one run as well, for seeds across a dot
+    for start, c in dict.fromkeys([(0, value), *zip(starts, parts)]):
+        n = SEED if len(c) >= SEED else min(PIECE, len(c))
+        runs = [c[i : i + n] for i in range(len(c) - n + 1)]
+        for i, j in longest_chain(runs, held[n] if len(c) >= PIECE else whole, len(train_value)):
+            diagonals[j - i - start] = None
+    places = range(max(1, len(value) - PIECE + 1))
+    return sum(any(i + d >= 0 and train_value[i + d : i + d + PIECE] == value[i : i + PIECE] for d in diagonals) for i in places) / len(places)
+
+
+def _coverages(values: pd.Series, train_values: pd.Series) -> pd.Series:
+    known: dict[tuple[str, str], float | None] = {}
+    for pair in zip(values, train_values):
+        if pair not in known:
+            known[pair] = None if pair[0] is None or pair[1] is None else 1.0 if pair[0] == pair[1] else coverage(*pair)
+    return pd.Series([known[pair] for pair in zip(values, train_values)], dtype="float64")
 
-    def aligned(chain: Column) -> Column:
-        return F.filter(at(value, PIECE), lambda i: F.exists(chain, lambda d: (i + d >= 1) & (F.substring(train_value, i + d, F.lit(PIECE)) == F.substring(value, i, F.lit(PIECE)))))
 
-    chain = let(F.transform(at(train_value, SEED), lambda i: seed_at(train_value, i)), diagonals)
-    return F.size(let(chain, aligned)) / F.size(at(value, PIECE))
+def chained_coverage(value: Column, train_value: Column) -> Column:
+    """Share of ``value``'s places aligned with ``train_value``; the longest chain takes a table over both, which expressions would build per sign."""
+    return F.pandas_udf(_coverages, DoubleType())(value, train_value)
 
 
 def overlapping_values(records: DataFrame) -> DataFrame:

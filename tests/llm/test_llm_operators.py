@@ -396,6 +396,49 @@ def test_coverage(spark):
     assert got[0] == 1.0 and got[1] == 0.0 and abs(got[2] - 11 / 16) < 1e-9
 
 
+def chain_length(runs, text, n):
+    """Longest common subsequence by the plain table."""
+    other = [text[j : j + n] for j in range(len(text) - n + 1)]
+    best = [0] * (len(other) + 1)
+    for run in runs:
+        new = [0]
+        for j, x in enumerate(other):
+            new.append(best[j] + 1 if x == run else max(best[j + 1], new[j]))
+        best = new
+    return best[-1]
+
+
+def test_longest_chain_against_the_table():
+    rng = random.Random(6)
+    for k in range(200):
+        letters, n = rng.choice(["C", "CO", "CNO", "CNOcn1()"]), rng.choice([1, 2, 5])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(n, 40))) for _ in range(2))
+        runs = [a[i : i + n] for i in range(len(a) - n + 1)]
+        chain = split_overlap.longest_chain(runs, split_overlap._places(b, n), len(b))
+        assert len(chain) == chain_length(runs, b, n)
+        assert all(runs[i] == b[j : j + n] for i, j in chain)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(chain, chain[1:]))
+
+
+def test_coverage_of_moved_components_and_short_values(spark):
+    a, b, c = "CC(=O)Nc1ccc(O)cc1Br", "OC1CCN(CC1)c2ncccn2", "N#Cc1ccc(cc1)S(=O)C"
+    pairs = [
+        (f"{a}.{b}.{c}", f"{b}.{c}.{a}"),  # moved: only the runs across dots may differ
+        (f"{a}{a}x", f"{a}y{a}x"),  # a repeated seed: its first place is not the one of the chain
+        ("CCOC(=O)C", "CCOC(=O)N"),  # under SEED signs, almost equal
+        ("CCN.Cl.O", "CCN.Cl.O.S"),
+        ("CC", "NN"),
+    ]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").repartition(1)
+    got = [r[0] for r in df.orderBy("k").select(split_overlap.chained_coverage(F.col("a"), F.col("b"))).collect()]
+    n = len(pairs[0][0]) - 4
+    assert got[0] >= (n - 10) / n
+    assert got[1] == (len(pairs[1][0]) - 4 - 4) / (len(pairs[1][0]) - 4)
+    assert got[2:] == [4 / 5, 1.0, 0.0]
+    # no component holds the seed, the value does
+    assert split_overlap.coverage("xxxxxABCDEFG.HIJKLMNyyyyy", "zzABCDEFG.HIJKLMNww") == 11 / 21
+
+
 def test_overlap_on_the_tables(spark, small):
     data = [tuple(r) for r in spark.read.parquet(f"{small}/system_records.parquet").select("record_id", "split_name", "source", "product_canonical", "route_canonical").collect()]
     assert rows(Q.p6_found(spark, small)) == brute_overlap(data)
