@@ -33,6 +33,27 @@ def join_on_counted(left: DataFrame, right: DataFrame, key: str, count: str, sha
     return joined.select(*left.columns, *(F.col(f"_v{tag}.{c}").alias(c) for c in extra))
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, share: float = 1 / 64, salts: int = 64) -> DataFrame:
+    """Inner join on ``key`` where one key may hold a third of ``left``, and ``right`` may repeat keys.
+
+    Keys with at least ``share`` of the rows of ``left`` are at most ``1 / share`` many and
+    are broadcast; their rows of ``left`` go to ``salts`` places by a hash of the row, and those of
+    ``right`` to each of them. ``left`` is read twice and should be a written table. Columns of both, ``key`` once.
+    """
+    tag = uuid.uuid4().hex[:8]
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    least = left.agg(F.greatest(F.count("*") * share, F.lit(1000.0)).alias("least")).scalar()
+    heavy = F.broadcast(counts.filter(F.col("n") >= least).select(F.col(key).alias(f"_k{tag}")))
+
+    def marked(df: DataFrame, salt) -> DataFrame:
+        return df.join(heavy, F.col(key) == F.col(f"_k{tag}"), "left").withColumn(f"_s{tag}", salt).drop(f"_k{tag}")
+
+    is_heavy = F.col(f"_k{tag}").isNotNull()
+    spread = marked(left, F.when(is_heavy, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0))
+    copied = marked(right, F.explode(F.sequence(F.lit(0), F.when(is_heavy, salts - 1).otherwise(0))))
+    return spread.join(copied, [key, f"_s{tag}"]).drop(f"_s{tag}")
+
+
 def _spread(left: DataFrame, key: str):
     # a value that no table holds, the same whenever a lost task is run again
     noise = F.concat(F.lit("\x00spread\x00"), F.xxhash64(*left.columns).cast("string"))
