@@ -10,7 +10,7 @@ from slatewise.llm.format_duplicates import DuplicateLedger, canonical_key
 from slatewise.llm.linked_splits import assign_splits, condition_groups, groups_of_two, yield_band
 from slatewise.llm.mixing import draw, shares_reached
 from slatewise.llm.oracle import ORACLE
-from slatewise.llm.split_overlap import chained_coverage, split_overlap
+from slatewise.llm.split_overlap import split_overlap
 from slatewise.llm.subjects import document_subjects
 from slatewise.llm.term_frequency import TermCounts
 from slatewise.llm.tokenizer import decode, encode, token_counts
@@ -110,8 +110,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Per overlapping evaluation record: its train partners and the best coverage of its values."""
     pairs = split_overlap(_table(spark, sf, "system_records"))
-    scored = pairs.select("evaluation_id", "split_name", "source", chained_coverage(F.col("e_product"), F.col("t_product")).alias("p"), chained_coverage(F.col("e_route"), F.col("t_route")).alias("r"))
-    return scored.groupBy(F.col("evaluation_id").alias("record_id"), "split_name", "source").agg(F.count("*").alias("links"), F.max("p").alias("product_coverage"), F.max("r").alias("route_coverage"))
+    return pairs.groupBy(F.col("evaluation_id").alias("record_id"), "split_name", "source").agg(
+        F.count("*").alias("links"), F.max("product_coverage").alias("product_coverage"), F.max("route_coverage").alias("route_coverage")
+    )
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:

@@ -372,6 +372,42 @@ def test_overlap_of_random_edits(spark):
     assert found_pairs(overlap(spark, data)) == want
 
 
+def test_overlap_of_scattered_edits(spark):
+    """Every component changed at one sign: no long run is common, at any number of pieces."""
+    rng, data = random.Random(4), []
+
+    def word(n):
+        return "".join(rng.choice("CNOSPFIclnos()=#123[]@+-") for _ in range(n))
+
+    for i in range(240):
+        n, size = rng.choice([6, 8, 10, 12]), (6, 14, 30, 60, 120, 400)[i % 6]
+        parts = [word(n) for _ in range(max(1, size // (n - 4)))]
+        at = rng.choice([0, n - 1, n - 1, 1, n - 2])
+        changed = [p[:at] + "Z" + p[at + 1 :] if rng.random() < rng.choice([0.7, 1.0]) else p for p in parts]
+        data += [(2 * i, "train", "a", ".".join(parts), ".".join(parts)), (2 * i + 1, "test", "b", ".".join(changed), ".".join(changed))]
+    want = brute_overlap(data)
+    assert all(sum((i // 2) % 6 == k for i, _ in want) > 5 for k in range(6))
+    assert found_pairs(overlap(spark, data)) == want
+
+
+def test_close_values_share_a_fingerprint():
+    rng = random.Random(8)
+    order = np.random.default_rng(1).permutation(split_overlap.SLOTS).astype(np.int32)
+    met = 0
+    for _ in range(400):
+        n = rng.choice([1, 3, 8, 11, 12, 13, 30, 47, 48, 50, 100, 190, 195, 700])
+        mine = {"".join(rng.choice("CNOclno=()12") for _ in range(4)) for _ in range(n)}
+        theirs = {x for x in mine if rng.random() > rng.choice([0.0, 0.1, 0.2, 0.3])} | {"".join(rng.choice("XYZ") for _ in range(4)) for _ in range(rng.randrange(1 + n // 4))}
+        if not theirs or len(mine & theirs) * 100 < 65 * len(mine | theirs):
+            continue
+        met += 1
+        t = split_overlap.fingerprints([".".join(sorted(mine))], order, False)[0]
+        e = split_overlap.fingerprints([".".join(sorted(theirs))], order, True)[0]
+        assert set(t.tolist()) & set(e.tolist())
+    assert met > 100
+    assert split_overlap.fingerprints([], order, True) == []
+
+
 def test_overlap_with_dirt(spark):
     p, r = "CCOC(=O)c1ccccc1N", "CCO.OC(=O)c1ccccc1N"
     data = [
