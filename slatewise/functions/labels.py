@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from slatewise.functions.text import MISSING_WORDS, trim_blank
 
-# Words that label normalisation drops, in any letter case.
-LABEL_SENTINELS = ("nan", "none")
-
 
 def tokens(cell: Column, separator: str = ";") -> Column:
     """trimmed, non-empty tokens of a cell in order; empty array for null."""
     return F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), separator), lambda x: trim_blank(x)), lambda x: x != "")
 
 
+def label_tokens(cell: Column) -> Column:
+    """the tokens that are labels: none of the missing words, in any letter case. Repeats stay."""
+    return F.filter(tokens(cell), lambda x: ~F.lower(x).isin(*MISSING_WORDS))
+
+
 def token_count(cell: Column) -> Column:
     return F.size(tokens(cell))
 
 
 def normalize_labels(cell: Column) -> Column:
-    """distinct labels without sentinels in code-point order, joined by ``'; '``."""
-    kept = F.filter(tokens(cell), lambda x: ~F.lower(x).isin(*LABEL_SENTINELS))
-    return F.array_join(F.array_sort(F.array_distinct(kept)), "; ")
+    """distinct labels without missing words in code-point order, joined by ``'; '``."""
+    return F.array_join(F.array_sort(F.array_distinct(label_tokens(cell))), "; ")
 
 
 def distinct_in_string(cell: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slatewise.functions.labels import tokens
+from slatewise.functions.labels import label_tokens
 from slatewise.plans.running import running
 
 
@@ -20,14 +20,14 @@ def without_footer(df: DataFrame, column: str, marks: list[str]) -> DataFrame:
 def within_complexity(df: DataFrame, limits: dict[str, int]) -> DataFrame:
     """rows with at most so many tokens in each cell."""
     for cell, most in limits.items():
-        df = df.filter(F.size(tokens(F.col(cell))) <= most)
+        df = df.filter(F.size(label_tokens(F.col(cell))) <= most)
     return df
 
 
 def without_rare_labels(df: DataFrame, row_id: str, cells: list[str], least: int, family: str | None = None) -> DataFrame:
     """rows without any token seen fewer than ``least`` times, per cell, over all or within a family."""
     scope = [family] if family else []
-    each = df.select(row_id, *scope, F.explode(F.array(*(F.struct(F.lit(c).alias("cell"), tokens(F.col(c)).alias("ts")) for c in cells))).alias("x"))
+    each = df.select(row_id, *scope, F.explode(F.array(*(F.struct(F.lit(c).alias("cell"), label_tokens(F.col(c)).alias("ts")) for c in cells))).alias("x"))
     each = each.select(row_id, *scope, "x.cell", F.explode("x.ts").alias("token"))
     rare = each.groupBy(*scope, "cell", "token").agg(F.count("*").alias("n")).filter(F.col("n") < least)
     bad = each.join(rare, [*scope, "cell", "token"], "left_semi").select(row_id).distinct()
@@ -36,7 +36,7 @@ def without_rare_labels(df: DataFrame, row_id: str, cells: list[str], least: int
 
 def token_roles(df: DataFrame, reagent: str, solvent: str) -> DataFrame:
     """Each token's role, the one it is seen in more often; a tie makes a solvent."""
-    each = df.select(F.explode(F.array(F.struct(F.lit(1).alias("r"), tokens(F.col(reagent)).alias("ts")), F.struct(F.lit(0).alias("r"), tokens(F.col(solvent)).alias("ts")))).alias("x"))
+    each = df.select(F.explode(F.array(F.struct(F.lit(1).alias("r"), label_tokens(F.col(reagent)).alias("ts")), F.struct(F.lit(0).alias("r"), label_tokens(F.col(solvent)).alias("ts")))).alias("x"))
     counted = each.select("x.r", F.explode("x.ts").alias("token")).groupBy("token").agg(F.sum("r").alias("as_reagent"), F.count("*").alias("n"))
     return counted.select("token", (F.col("as_reagent") * 2 > F.col("n")).alias("is_reagent"))
 
@@ -44,7 +44,7 @@ def token_roles(df: DataFrame, reagent: str, solvent: str) -> DataFrame:
 def reassigned(df: DataFrame, row_id: str, reagent: str, solvent: str) -> DataFrame:
     """Tokens moved to the cell of their role, sorted and distinct; rows left without solvent are dropped."""
     roles = token_roles(df, reagent, solvent)
-    each = df.select(row_id, F.explode(F.array_distinct(F.concat(tokens(F.col(reagent)), tokens(F.col(solvent))))).alias("token")).join(roles, "token")
+    each = df.select(row_id, F.explode(F.array_distinct(F.concat(label_tokens(F.col(reagent)), label_tokens(F.col(solvent))))).alias("token")).join(roles, "token")
 
     def cell(own: Column) -> Column:
         return F.array_join(F.array_sort(F.collect_list(F.when(own, F.col("token")))), "; ")
@@ -161,3 +161,9 @@ def augmented(df: DataFrame, reactants: str, product: str, n: int, most: int = 1
     variant = F.transform(turns, lambda i: F.array_join(F.concat(F.slice(parts, i + 1, F.size(parts) - i), F.slice(parts, F.lit(1), i)), "."))
     rows = df.withColumn("status", status)
     return rows.select("*", F.posexplode_outer(F.when(F.col("status") == "ok", variant)).alias("variant", "source"))
+
+
+def valid_entries(df: DataFrame, parseable: Column, yield_: str, solvent: str, least_yield: float = 25.0) -> DataFrame:
+    """rows with both sides parseable, a known yield of at least ``least_yield``, and a solvent label."""
+    y = F.nanvl(F.col(yield_), F.lit(None).cast("double"))
+    return df.filter(parseable & (y >= least_yield) & (F.size(label_tokens(F.col(solvent))) > 0))

@@ -46,3 +46,20 @@ def with_embedding(df: DataFrame, embeddings: DataFrame, keys: list[str]) -> Dat
 def flattened(df: DataFrame, keys: list[str], record: str) -> DataFrame:
     """The fields of a struct as columns."""
     return df.select(*keys, f"{record}.*")
+
+
+def descriptor_columns(df: DataFrame, keys: list[str], vector: str, names: list[str]) -> DataFrame:
+    """P5: the first elements of a vector as columns; an absent element is 0."""
+    return df.select(*keys, *(F.coalesce(F.get(vector, F.lit(i)).cast("double"), F.lit(0.0)).alias(n) for i, n in enumerate(names)))
+
+
+def reaction_key(df: DataFrame, key: str, reactants: str, product: str, molecules: DataFrame) -> DataFrame:
+    """F8: ``(key, side_key, reaction_key)`` from a supplied table ``(raw, canonical)``: the canonical components of the
+    reactants in text order, and the same with the product behind ``>>``. A side with an unknown component has the empty key, as has its reaction."""
+    sides = df.select(key, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col(reactants).alias("x")), F.struct(F.lit("b").alias("side"), F.col(product).alias("x")))).alias("s"))
+    each = sides.select(key, "s.side", F.explode(F.split(F.coalesce("s.x", F.lit("")), "[.]")).alias("raw"))
+    known = each.join(molecules.select("raw", "canonical").distinct(), "raw", "left")
+    good = F.min(F.coalesce(F.col("canonical"), F.lit("")) != "")
+    side = known.groupBy(key, "side").agg(F.when(good, F.array_join(F.array_sort(F.collect_list("canonical")), ".")).otherwise("").alias("k"))
+    per = side.groupBy(key).agg(*(F.max(F.when(F.col("side") == n, F.col("k"))).alias(n) for n in "ab"))
+    return per.select(key, F.col("a").alias("side_key"), F.when((F.col("a") != "") & (F.col("b") != ""), F.concat_ws(">>", "a", "b")).otherwise("").alias("reaction_key"))

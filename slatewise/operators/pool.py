@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import numbers as N
-from slatewise.functions.labels import tokens
+from slatewise.functions.labels import label_tokens
 from slatewise.functions.text import known_number
 
 
@@ -102,7 +102,7 @@ def best_then_capped(df: DataFrame, key: list[str], route: list[str], score: str
 
 def contexts_within(contexts: DataFrame, cell: str, selected: list[str]) -> DataFrame:
     """Q9: contexts whose tokens are all selected."""
-    return contexts.filter(F.size(F.array_except(tokens(F.col(cell)), F.array(*map(F.lit, selected)))) == 0)
+    return contexts.filter(F.size(F.array_except(label_tokens(F.col(cell)), F.array(*map(F.lit, selected)))) == 0)
 
 
 def combinations(token_rows: DataFrame, most: int, largest: int, limit: int = 200) -> DataFrame:

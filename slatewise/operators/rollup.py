@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slatewise.plans.running import running
+from slatewise.shared import written
+
 
 def macro_average(per_family: DataFrame, run: list[str], measures: list[str], totals: list[str]) -> DataFrame:
     """Unweighted mean over families, nulls left out; counts are summed."""
@@ -22,14 +25,17 @@ def with_averages(per_family: DataFrame, family: str, measures: list[str], weigh
 
 
 def category_counts(df: DataFrame, family: str, category: str, categories: list[str], every: str = "ALL-FAMILIES") -> DataFrame:
-    """Count of each category per family and over all, zeros kept."""
+    """Count of each of ``categories`` per family (null is one) and over all, zeros kept."""
     spark = df.sparkSession
     per = df.groupBy(family, category).agg(F.count("*").alias("n"))
     whole = per.groupBy(category).agg(F.sum("n").alias("n")).withColumn(family, F.lit(every))
     found = per.select(family, category, "n").unionByName(whole.select(family, category, "n"))
-    names = df.select(family).distinct().unionAll(spark.createDataFrame([(every,)], f"{family} string"))
-    grid = names.crossJoin(F.broadcast(spark.createDataFrame([(c,) for c in categories], f"{category} string")))
-    return grid.join(found, [family, category], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+    per = per.select(family, category, "n")
+    # each family counted brings its own grid of zeros: nothing is read twice, and a null family is a family
+    names = per.select(family).unionAll(spark.createDataFrame([(every,)], f"{family} string"))
+    zeros = names.distinct().select(family, F.explode(F.array(*map(F.lit, categories))).alias(category), F.lit(0).cast("bigint").alias("n"))
+    counted = found.filter(F.col(category).isin(*categories)).unionByName(zeros)
+    return counted.groupBy(family, category).agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def spread(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
@@ -96,6 +102,28 @@ def _factorial(k: int) -> int:
     return 1 if k < 2 else k * _factorial(k - 1)
 
 
+def bootstrap_macro(per_cluster: DataFrame, family: str, cluster: str, sums: dict[str, str], size: str, draws: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """For each system the mean and percentile interval of the mean over families, and of the difference from the first system.
+
+    In a draw each family picks as many clusters as it has, with replacement, by a hash of (family, draw, place); all
+    systems see the same picks. ``sums`` names each system's column of sums per cluster, ``size`` that of
+    rows per cluster. Clusters are numbered by ``running``, so no task orders a family.
+    """
+    numbered = running(per_cluster, [family], [cluster], F.lit(1), "_place", "_all").withColumn("_place", F.col("_place").cast("bigint"))
+    stats = written(numbered.select(family, "_place", "_all", size, *dict.fromkeys(sums.values())), "numbered-clusters")
+    each = stats.select(family, "_place", "_all", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    part = F.substring(F.md5(F.concat_ws(":", family, "draw", "_place")), 1, 8)
+    picks = each.select(family, "draw", F.pmod(F.conv(part, 16, 10).cast("bigint"), F.col("_all").cast("bigint")).alias("_place")).groupBy(family, "draw", "_place").agg(F.count("*").alias("_times"))
+    met = picks.join(stats.drop("_all").withColumnsRenamed({family: "_family", "_place": "_of"}), F.col(family).eqNullSafe(F.col("_family")) & (F.col("_place") == F.col("_of")))
+    rows = F.sum(F.col("_times") * F.col(size))
+    per_draw = met.groupBy("draw", family).agg(*((F.sum(F.col("_times") * F.col(c)) / rows).alias(s) for s, c in sums.items())).groupBy("draw").agg(*(F.avg(s).alias(s) for s in sums))
+    first = next(iter(sums))
+    values = F.explode(F.array(*(F.struct(F.lit(s).alias("system"), F.col(s).alias("value"), (F.col(s) - F.col(first)).alias("delta")) for s in sums)))
+    flat = per_draw.select(values.alias("x")).select("x.*")
+    ends = [F.percentile(c, q).alias(f"{c}_{name}") for c in ("value", "delta") for q, name in ((low, "low"), (high, "high"))]
+    return flat.groupBy("system").agg(F.avg("value").alias("mean"), F.avg("delta").alias("mean_delta"), *ends, F.count("*").alias("draws"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` replace those with their keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

@@ -16,9 +16,8 @@ def repeated(df: DataFrame, times: int | Column) -> DataFrame:
 
 
 def subsample(df: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
-    """D3: exactly ceil(n * ratio) rows, those of smallest hash; sampling is the feature, the order is total."""
-    n = -int(-(df.count() * ratio) // 1)
-    return df.withColumn("_h", F.xxhash64(key, F.lit(seed))).orderBy("_h", key).limit(n).drop("_h")
+    """D3: exactly ceil(n * ratio) rows, those of smallest MD5 hash; sampling is the feature, the order is total."""
+    return first_by(df, unit_hash(F.col(key), seed), key, -int(-(df.count() * ratio) // 1))
 
 
 def resampled(df: DataFrame, key: str, weight: str, draws: int, seed: int = 0) -> DataFrame:
@@ -34,11 +33,40 @@ def resampled(df: DataFrame, key: str, weight: str, draws: int, seed: int = 0) -
     low = F.col("_from") + F.col("_own") - F.col(weight)
     placed = rows.withColumn("_own", own).join(F.broadcast(starts), "_block").withColumn("_a", low / F.col("_all")).withColumn("_b", (low + F.col(weight)) / F.col("_all"))
     # systematic draws: points (i + shift) / draws
-    shift = (abs(hash(("slatewise", seed))) % 1000) / 1000
+    shift = (seed * 2654435761 % 2**32 + 0.5) / 2**32
     n = F.floor(F.col("_b") * draws - shift + 1) - F.floor(F.col("_a") * draws - shift + 1)
     return placed.withColumn("times", n.cast("bigint")).filter("times > 0").drop("_block", "_own", "_from", "_all", "_a", "_b")
 
 
+def drawn_once(df: DataFrame, key: str, weight: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` weighted draws without replacement: the rows of the largest ``log(u) / weight``, ``u`` from a hash of the key (Efraimidis and Spirakis).
+
+    """
+    return first_by(df.filter(F.col(weight) > 0), -F.log(unit_hash(F.col(key), seed)) / F.col(weight), key, n)
+
+
+def unit_hash(key: Column, seed: int = 0) -> Column:
+    """A number above 0 and below 1 from the MD5 digest of a key and a seed."""
+    part = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 12)
+    return (F.conv(part, 16, 10).cast("double") + 0.5) / float(2**48)
+
+
+def first_by(df: DataFrame, order: Column, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of least ``order``, then key. Rows are counted in bins of the order's quantiles; whole bins
+    are taken, and only those of the bin at the border are ranked."""
+    rows = df.withColumn("_o", order)
+    cuts = rows.agg(F.percentile_approx("_o", [i / 256 for i in range(257)], 10_000).alias("cuts"))
+    placed = rows.crossJoin(F.broadcast(cuts)).withColumn("_bin", F.size(F.filter("cuts", lambda c: c <= F.col("_o")))).drop("cuts")
+    held = placed.groupBy("_bin").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy().orderBy("_bin")
+    starts = held.select("_bin", "_n", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    joined = placed.join(F.broadcast(starts), "_bin").filter(F.col("_before") < n)
+    whole = joined.filter(F.col("_before") + F.col("_n") <= n)
+    border = joined.filter(F.col("_before") + F.col("_n") > n).withColumn("_r", F.row_number().over(Window.partitionBy("_bin").orderBy("_o", key)))
+    border = border.filter(F.col("_r") + F.col("_before") <= n).drop("_r")
+    return whole.unionByName(border).drop("_o", "_bin", "_n", "_before")
+
+
 def zip_by_position(a: DataFrame, b: DataFrame, position: str) -> DataFrame:
     """Rows of ``a`` with the rows of ``b`` at the same place, ``b`` wrapping around; both have a dense position from 0."""
     n = b.agg(F.count("*").alias("_n"))
@@ -55,7 +83,7 @@ def paired_lines(a: DataFrame, b: DataFrame, position: str) -> DataFrame:
 
 def source_of_draw(key: Column, shares: list[tuple[str, float]], seed: int = 0) -> Column:
     """A source by probability, from a seeded hash."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    u = unit_hash(key, seed)
     out, upto = F.lit(shares[-1][0]), sum(p for _, p in shares[:-1])
     for name, p in reversed(shares[:-1]):
         out = F.when(u < upto, F.lit(name)).otherwise(out)
@@ -96,6 +124,16 @@ def rolled(a: Column, by: int) -> Column:
     return F.when(n == 0, a).otherwise(F.concat(F.slice(a, n - k + 1, k), F.slice(a, F.lit(1), n - k)))
 
 
+def composite_key(*parts: Column) -> Column:
+    """Parts joined by a triple pipe between spaces."""
+    return F.concat_ws(" ||| ", *(F.coalesce(p, F.lit("")) for p in parts))
+
+
+def key_parts(c: Column) -> Column:
+    """The parts of a composite key."""
+    return F.split(c, r" \|\|\| ")
+
+
 def padded(a: Column, width: Column, pad: Column, left: bool = False) -> Column:
     """Filled up to ``width``."""
     fill = F.array_repeat(pad, F.greatest(width - F.size(a), F.lit(0)))
@@ -140,18 +178,18 @@ def budget_batches(df: DataFrame, part: str, ordinal: str, ids: str, most: int)
 
 def dropped_out(a: Column, key: Column, share: float, seed: int = 0) -> Column:
     """Tokens left out by a seeded coin; at least the first stays."""
-    kept = F.filter(a, lambda x, i: F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(1_000_000)) >= int(share * 1_000_000))
+    kept = F.filter(a, lambda x, i: unit_hash(F.concat_ws(":", key.cast("string"), i.cast("string")), seed) >= share)
     return F.when((F.size(kept) == 0) & (F.size(a) > 0), F.slice(a, 1, 1)).otherwise(kept)
 
 
 def masked(a: Column, key: Column, share: float, mask: Column, seed: int = 0) -> Column:
     """Tokens masked by a seeded coin."""
-    return F.transform(a, lambda x, i: F.when(F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000), mask).otherwise(x))
+    return F.transform(a, lambda x, i: F.when(unit_hash(F.concat_ws(":", key.cast("string"), i.cast("string")), seed) < share, mask).otherwise(x))
 
 
 def shuffled(a: Column, key: Column, reach: int, seed: int = 0) -> Column:
     """Tokens moved by less than ``reach`` places."""
-    keyed = F.transform(a, lambda x, i: F.struct((i + F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(1000)) / 1000 * reach).alias("at"), i.alias("i"), x.alias("x")))
+    keyed = F.transform(a, lambda x, i: F.struct((i + unit_hash(F.concat_ws(":", key.cast("string"), i.cast("string")), seed) * reach).alias("at"), i.alias("i"), x.alias("x")))
     return F.transform(F.array_sort(keyed), lambda t: t["x"])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from slatewise.shared import drop_path
+from slatewise.shared import drop_path, replace_file
 
 BUCKET = "_bucket"
 
@@ -53,11 +53,13 @@ class BucketedTable:
         ``batch`` has this table's schema and unique keys. ``added`` is added to the totals.
         """
         target = f"{self.path}/v{self.version + 1}"
+        drop_path(self.spark, target)  # what a merge that died may have left
         if not self.folders:
             self._write(batch, target)
             self.folders = self._listed(target)
         else:
             staged = f"{self.path}/batch{self.version + 1}"
+            drop_path(self.spark, staged)
             self._write(batch, staged)
             touched = self._listed(staged)
             if touched:
@@ -82,6 +84,4 @@ class BucketedTable:
         out = self._fs.create(part, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        final = self._path(f"{self.path}/manifest.json")
-        self._fs.delete(final, False)
-        self._fs.rename(part, final)
+        replace_file(self.spark, f"{self.path}/manifest.part", f"{self.path}/manifest.json")

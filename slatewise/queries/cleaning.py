@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from slatewise.functions import labels as L
 from slatewise.functions import numbers as N
 from slatewise.operators import cleaning as C
-from slatewise.registry import Tables, query, sql_tokens
+from slatewise.registry import Tables, query, sql_labels
 
-_R, _S = sql_tokens("reagent_norm"), sql_tokens("solvent_norm")
+_R, _S = sql_labels("reagent_norm"), sql_labels("solvent_norm")
 
 
 @query(f"SELECT row_id FROM condition_rows WHERE len({_R}) <= 3 AND len({_S}) <= 2")
@@ -45,7 +45,7 @@ def role_reassign(t: Tables) -> DataFrame:
 SELECT canonical, spelling, total AS n FROM (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY n DESC, first, spelling) AS r, sum(n) OVER (PARTITION BY canonical)::BIGINT AS total FROM g) WHERE r = 1""")
 def mode_representative(t: Tables) -> DataFrame:
     """A10."""
-    each = t.condition_rows.select("row_id", F.explode(L.tokens(F.col("reagent_norm"))).alias("spelling"))
+    each = t.condition_rows.select("row_id", F.explode(L.label_tokens(F.col("reagent_norm"))).alias("spelling"))
     return C.representatives(each, F.lower("spelling"), "spelling", "row_id")
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from slatewise.functions import labels as L
 from slatewise.functions import numbers as N
 from slatewise.operators import memory as M
-from slatewise.registry import Tables, query, sql_tokens
+from slatewise.registry import Tables, query, sql_labels
 
 
 
 def _norm(cell: str) -> str:
-    return f"coalesce(array_to_string(list_sort(list_distinct(list_filter({sql_tokens(cell)}, lambda x: lower(x) NOT IN ('nan', 'none')))), '; '), '')"
+    return f"coalesce(array_to_string(list_sort(list_distinct({sql_labels(cell)})), '; '), '')"
 
 
 _ROWS = f"""rows AS (SELECT row_id, reaction_id, family, product, CASE WHEN isnan(yield_value) THEN NULL ELSE yield_value END AS y, CASE WHEN isnan(temperature) THEN NULL ELSE temperature END AS t,
@@ -65,13 +65,14 @@ FROM own JOIN c ON c.reagent_norm = own.reagent_norm AND c.solvent_norm = own.so
 def leave_one_out_support(t: Tables) -> DataFrame:
     """J11 V6."""
     rows = _rows(t).filter("reaction_id IS NOT NULL")
-    return M.leave_one_out(rows, "reaction_id", _C).withColumn("support", F.round("support", 9))
+    out = M.leave_one_out(rows, ["reaction_id"], _C, "yield_value").withColumn("support", F.round("support", 9))
+    return out.select("reaction_id", *_C, "context_count", "support")
 
 
-_TOKENS = f"unnest({sql_tokens('reagent_norm')})"
+_TOKENS = f"unnest({sql_labels('reagent_norm')})"
 
 
-@query(f"WITH x AS (SELECT {_TOKENS} AS token FROM condition_rows), f AS (SELECT token, count(*) AS n FROM x WHERE lower(token) NOT IN ('nan', 'none') GROUP BY token) SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) - 1)::BIGINT AS token_index FROM f")
+@query(f"WITH x AS (SELECT {_TOKENS} AS token FROM condition_rows), f AS (SELECT token, count(*) AS n FROM x GROUP BY token) SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) - 1)::BIGINT AS token_index FROM f")
 def token_frequency(t: Tables) -> DataFrame:
     """A8 W8 D16 K4."""
     return M.vocabulary(M.token_frequency(t.condition_rows, "reagent_norm")).withColumn("token_index", F.col("token_index").cast("bigint"))
@@ -83,7 +84,7 @@ def token_union_per_group(t: Tables) -> DataFrame:
     return M.union_per_group(t.condition_rows, "reaction_id", "reagent_norm")
 
 
-@query(f"""WITH x AS (SELECT reaction_id, row_id, {_TOKENS} AS token, generate_subscripts({sql_tokens('reagent_norm')}, 1) AS pos FROM condition_rows),
+@query(f"""WITH x AS (SELECT reaction_id, row_id, {_TOKENS} AS token, generate_subscripts({sql_labels('reagent_norm')}, 1) AS pos FROM condition_rows),
 f AS (SELECT reaction_id, token, min((row_id, pos)) AS place FROM x GROUP BY ALL) SELECT reaction_id, string_agg(token, '; ' ORDER BY place) AS tokens FROM f GROUP BY reaction_id""")
 def token_union_in_order(t: Tables) -> DataFrame:
     """A11 F5."""
@@ -118,7 +119,7 @@ def fallback_union(t: Tables) -> DataFrame:
     return M.with_fallback(t.route_proposals.select("sample_index").distinct(), found, top, "sample_index", _C)
 
 
-@query(f"""WITH r AS (SELECT row_id, unnest(list_distinct({sql_tokens('solvent_norm')})) AS token FROM condition_rows),
+@query(f"""WITH r AS (SELECT row_id, unnest(list_distinct({sql_labels('solvent_norm')})) AS token FROM condition_rows),
 c AS (SELECT ref_id, label_name AS token FROM label_reference WHERE label_role = 'solvent')
 SELECT c.ref_id, round(count(DISTINCT r.row_id) / (SELECT count(*) FROM condition_rows), 9) AS support FROM c LEFT JOIN r ON r.token = c.token GROUP BY c.ref_id""")
 def token_overlap_support(t: Tables) -> DataFrame:
@@ -127,9 +128,9 @@ def token_overlap_support(t: Tables) -> DataFrame:
     return M.overlap_support(t.condition_rows.select("row_id", "solvent_norm"), wanted, "row_id", "ref_id", "solvent_norm").withColumn("support", F.round("support", 9))
 
 
-@query(f"""WITH x AS (SELECT row_id, {_TOKENS} AS token FROM condition_rows), f AS (SELECT token, ln(1 + count(*)) AS weight FROM x WHERE lower(token) NOT IN ('nan', 'none') GROUP BY token),
+@query(f"""WITH y AS (SELECT row_id, {_TOKENS} AS token FROM condition_rows), f AS (SELECT token, ln(1 + count(*)) AS weight FROM y GROUP BY token), x AS (SELECT DISTINCT row_id, token FROM y),
 s AS (SELECT x.row_id, avg(coalesce(f.weight, -12)) AS score FROM x LEFT JOIN f USING (token) GROUP BY x.row_id) SELECT r.row_id, round(coalesce(s.score, 0), 6) AS score FROM condition_rows r LEFT JOIN s USING (row_id)""")
 def context_scores(t: Tables) -> DataFrame:
-    """Mean log prior of a row's tokens; sentinels count as -12."""
+    """Mean log prior of a row's distinct labels."""
     weights = M.token_frequency(t.condition_rows, "reagent_norm").select("token", N.log_prior(F.col("n")).alias("weight"))
     return M.mean_prior(t.condition_rows, "row_id", "reagent_norm", weights, -12.0).withColumn("score", F.round("score", 6))

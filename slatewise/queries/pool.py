@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import numbers as N
 from slatewise.operators import pool as P
-from slatewise.registry import Tables, query, sql_tokens
+from slatewise.registry import Tables, query, sql_labels
 
 _KNOWN = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
 
@@ -106,7 +106,7 @@ def clipped_correction(t: Tables) -> DataFrame:
     return known.select("row_id", F.round(N.clipped((F.col("yield_value") - 50) / 100, 0.7, 0.25), 9).alias("correction"))
 
 
-@query(f"""SELECT row_id, solvent_norm FROM condition_rows WHERE len(list_filter({sql_tokens('solvent_norm')}, lambda x: x NOT IN ('toluene', 'water', 'methanol', 'ethanol'))) = 0""")
+@query(f"""SELECT row_id, solvent_norm FROM condition_rows WHERE len(list_filter({sql_labels('solvent_norm')}, lambda x: x NOT IN ('toluene', 'water', 'methanol', 'ethanol'))) = 0""")
 def subset_contexts(t: Tables) -> DataFrame:
     """Q9: rows whose solvents are all among four."""
     return P.contexts_within(t.condition_rows.select("row_id", "solvent_norm"), "solvent_norm", ["toluene", "water", "methanol", "ethanol"])

@@ -11,7 +11,7 @@ from slatewise.functions import labels as L
 from slatewise.functions.text import BLANK
 from slatewise.operators.features import distinct_mapped
 from slatewise.provider import supplied_keys
-from slatewise.registry import SQL_BLANK, Tables, query, sql_tokens
+from slatewise.registry import SQL_BLANK, Tables, query, sql_labels, sql_tokens
 from slatewise.shared import new_folder
 from slatewise.sources import readers as S
 from slatewise.sources import sinks as K
@@ -20,8 +20,8 @@ from slatewise.streaming import windows as W
 _NUM = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
 
 
-@query(f"""SELECT reaction_id, reactants, product, {_NUM.format('yield_value')} AS yield_value, coalesce(array_to_string(list_sort(list_distinct(list_filter({sql_tokens('reagent_norm')}, lambda x: lower(x) NOT IN ('nan', 'none')))), '; '), '') AS reagent_norm,
-coalesce(array_to_string(list_sort(list_distinct(list_filter({sql_tokens('solvent_norm')}, lambda x: lower(x) NOT IN ('nan', 'none')))), '; '), '') AS solvent_norm, {_NUM.format('temperature')} AS temperature
+@query(f"""SELECT reaction_id, reactants, product, {_NUM.format('yield_value')} AS yield_value, coalesce(array_to_string(list_sort(list_distinct({sql_labels('reagent_norm')})), '; '), '') AS reagent_norm,
+coalesce(array_to_string(list_sort(list_distinct({sql_labels('solvent_norm')})), '; '), '') AS solvent_norm, {_NUM.format('temperature')} AS temperature
 FROM condition_records WHERE concat_ws('', reactants, product, reagent_norm, solvent_norm, reaction_id) NOT SIMILAR TO '(.|\\n)*[\\t\\r\\n](.|\\n)*' AND reactants IS NOT NULL AND product IS NOT NULL AND reaction_id IS NOT NULL""".replace("\\\\", "\\"))
 def split_row_roundtrip(t: Tables) -> DataFrame:
     """Records written as headerless lines and read with types."""

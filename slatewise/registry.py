@@ -19,6 +19,11 @@ def sql_tokens(cell: str) -> str:
     return f"list_filter(list_transform(string_split(coalesce({cell}, ''), ';'), lambda x: regexp_replace(x, '^{SQL_BLANK}+|{SQL_BLANK}+$', '', 'g')), lambda x: x <> '')"
 
 
+def sql_labels(cell: str) -> str:
+    """DuckDB text for the tokens of a label cell that are no missing words."""
+    return f"list_filter({sql_tokens(cell)}, lambda w: lower(w) NOT IN ('nan', 'none', 'not given', 'unknown', '-'))"
+
+
 class Tables:
     """Tables of a folder as attributes, each read with its own schema and only the columns used."""
 

@@ -52,16 +52,16 @@ def routes_from_split(spark: SparkSession, path: str) -> DataFrame:
     return running(first, ["_all"], ["line"], F.lit(1), "sample_index").drop("_all", "line").withColumn("sample_index", F.col("sample_index").cast("bigint"))
 
 
-def route_cache(spark: SparkSession, path: str) -> DataFrame:
-    """One row per predicted route; queries without routes vanish."""
-    cache = spark.read.schema(schema.ROUTE_CACHE).json(path, multiLine=True)
+def route_cache(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per predicted route; queries without routes vanish. A file is one document, or with ``lines`` one per line."""
+    cache = spark.read.schema(schema.ROUTE_CACHE).json(path, multiLine=not lines)
     each = cache.select("family", F.explode("reactions").alias("q"))
     return each.select("family", "q.sample_index", "q.reaction_id", "q.product", "q.gold_reactants", F.inline("q.routes"))
 
 
-def route_manifest(spark: SparkSession, path: str) -> DataFrame:
+def route_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Each query once; the job fails on a repeated number."""
-    cache = spark.read.schema(schema.ROUTE_CACHE).json(path, multiLine=True)
+    cache = spark.read.schema(schema.ROUTE_CACHE).json(path, multiLine=not lines)
     each = cache.select("family", F.explode("reactions").alias("q")).groupBy("family", "q.sample_index").agg(F.count("*").alias("n"))
     bad = F.when(F.col("n") > 1, F.raise_error(F.lit("a query is listed twice")).cast("int"))
     return each.withColumn("n", F.coalesce(bad, F.lit(1))).filter("n = 1").select("family", "sample_index")

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slatewise.shared import replace_file
 from slatewise.sources.readers import file_digests
 
 
@@ -45,9 +46,7 @@ def save_manifest(spark: SparkSession, path: str, config: dict, inputs: dict[str
     out = fs.create(part, True)
     out.write(bytearray(json.dumps({"schema": 1, "config": config, "inputs": found}, sort_keys=True).encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"{path} could not be put in place")
+    replace_file(spark, path + ".part", path)
 
 
 def require_manifest(spark: SparkSession, path: str, config: dict, inputs: dict[str, str]) -> None:

@@ -222,3 +222,26 @@ def test_weighted_resample_draws_as_often_as_there_are_documents(spark, tmp_path
         assert sum(got.values()) == n
         # systematic draws: each document is drawn its share of n, rounded up or down
         assert all(abs(got.get(i, 0) - n * (w or 0) / weight) < 1 for i, w in docs)
+
+
+def test_missing_words_are_no_labels(spark):
+    df = spark.createDataFrame([(1, "g", "water; Not Given; -; unknown"), (2, "g", "NaN;none; thf ;water"), (3, "g", None)], "i int, g string, c string")
+    got = [r[0] for r in df.orderBy("i").select(L.normalize_labels(F.col("c"))).collect()]
+    assert got == ["water", "thf; water", ""]
+    assert {r["token"]: r["n"] for r in memory.token_frequency(df, "c").collect()} == {"water": 2, "thf": 1}
+    assert [tuple(r) for r in memory.union_per_group(df, "g", "c").collect()] == [("g", "thf; water")]
+    # a rare missing word drops no row
+    assert sorted(r["i"] for r in cleaning.without_rare_labels(df, "i", ["c"], 2).collect()) == [1, 3]
+
+
+def test_first_by_takes_exactly_n(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 7).alias("k"))
+    for n in (0, 1, 700, 4999, 6000):
+        got = sorted(r["id"] for r in sequences.first_by(df, F.col("k"), "id", n).collect())
+        assert got == sorted(sorted(range(5000), key=lambda i: (i % 7, i))[:n])
+
+
+def test_a_null_family_is_counted(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), ("x", "b")], "f string, c string")
+    got = {(r["f"], r["c"]): r["n"] for r in rollup.category_counts(df, "f", "c", ["a", "b"]).collect()}
+    assert got == {(None, "a"): 2, (None, "b"): 0, ("x", "a"): 0, ("x", "b"): 1, ("ALL-FAMILIES", "a"): 2, ("ALL-FAMILIES", "b"): 1}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slatewise.operators import ranking, retrieve
 from slatewise.plans.bucketed import BucketedTable
 from slatewise.plans.running import running
-from slatewise.plans.skew import join_on_counted
+from slatewise.plans.skew import join_on_counted, join_spread
 from slatewise.shared import new_folder, written
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -97,3 +97,13 @@ def test_core_does_not_import_llm():
 def test_no_local_checkpoint_or_cross_product_of_rows():
     for path in (ROOT / "slatewise").rglob("*.py"):
         assert "localCheckpoint(" not in path.read_text(), path
+
+
+def test_spread_join_with_a_hot_key_on_both_sides(spark):
+    left = written(spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "hot").otherwise(F.col("id").cast("string")).alias("k")), "left")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("2", 3), (None, 4), ("none", 5)], "k string, v int")
+    got = join_spread(left, right, "k")
+    want = left.join(right, "k").select(*got.columns)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert got.count() == 4001
+    assert join_spread(left.limit(0), right, "k").count() == 0
