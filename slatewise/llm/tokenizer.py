@@ -5,7 +5,11 @@ is encoded once, by higher-order functions: a fold over its bytes that merges,
 step by step, the adjacent pair of least rank, at all its places. The ranks are
 a literal map, read from the vocabulary file and held in a scalar subquery, so
 that plans stay readable; its 50 thousand pairs lie in ``SLOTS`` small maps, as
-a lookup in one large map would be linear. Decoding concatenates the binary
+a lookup in one large map would be linear. A word of more than ``LONG`` bytes is
+encoded in windows: each begins where the tokens taken from the last one end, and what lies within
+``MARGIN`` of its end is not taken. A sequence of tokens is the encoding of a text just when each two
+neighbours are that of their own bytes, so it is enough that the first token of a window is the
+one that the last window had there; should it differ, the word is folded as a whole. Decoding concatenates the binary
 pieces of the ids.
 
 Word codes go back to the texts by a broadcast while the dictionary of distinct
@@ -37,6 +41,7 @@ VOCABULARY = os.environ.get("SLATEWISE_TOKENIZERS", "/opt/tokenizers") + "/byte_
 # The public pattern that cuts a text before the merges, its blanks spelled out for Java.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"[^\s", "[^" + BLANK[1:-1]).replace(r"\S", "[^" + BLANK[1:]).replace(r"\s", BLANK)
 SLOTS = 1 << 15
+LONG, MARGIN = 256, 64
 BROADCAST_BYTES = 32 << 20
 
 
@@ -76,17 +81,48 @@ def rank_table(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
     for a, b, rank in merges:
         slots[_slot(a, b)][str(a << 20 | b)] = rank
     single = {p: i for i, p in enumerate(pieces) if len(p) == 1}
-    text = json.dumps({"bytes": [single[bytes([i])] for i in range(256)], "slots": slots}, separators=(",", ":"))
+    text = json.dumps({"bytes": [single[bytes([i])] for i in range(256)], "slots": slots, "lengths": [len(p) for p in pieces]}, separators=(",", ":"))
     # one text cell, parsed by Spark: far quicker than a hundred thousand Python values
     row = spark.createDataFrame([(text,)], "text string")
-    return row.select(F.from_json("text", "bytes array<int>, slots array<map<string,int>>").alias("x")).select(
-        F.struct("x.bytes", F.transform("x.slots", lambda m: F.transform_keys(m, lambda k, _: k.cast("bigint"))).alias("slots")).alias("ranks")
+    return row.select(F.from_json("text", "bytes array<int>, slots array<map<string,int>>, lengths array<int>").alias("x")).select(
+        F.struct("x.bytes", F.transform("x.slots", lambda m: F.transform_keys(m, lambda k, _: k.cast("bigint"))).alias("slots"), "x.lengths").alias("ranks")
     )
 
 
 def encode_word(word: Column, ranks: Column) -> Column:
     """The ids of one word."""
-    latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    return let(
+        F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"),
+        lambda b: F.when(F.length(b) <= LONG, encode_bytes(b, ranks)).otherwise(F.coalesce(encode_windows(b, ranks), encode_bytes(b, ranks))),
+    )
+
+
+def encode_windows(latin: Column, ranks: Column) -> Column:
+    """The ids of many bytes, window by window, or null where two windows do not agree."""
+
+    def step(acc: Column, _: Column) -> Column:
+        last = acc["at"] + LONG >= F.length(latin)
+
+        def taken(ids: Column) -> Column:
+            ends = F.aggregate(ids, F.array(F.lit(0)), lambda e, i: F.array_append(e, F.element_at(e, -1) + F.get(ranks["lengths"], i)))
+            whole = let(ends, lambda e: F.struct(e.alias("ends"), F.when(last, F.size(ids)).otherwise(F.size(F.filter(e, lambda x: x <= LONG - MARGIN)) - 1).alias("n")))
+            agrees = (acc["next"] < 0) | (F.get(ids, F.lit(0)) == acc["next"])
+            return let(
+                whole,
+                lambda w: F.struct(
+                    (acc["at"] + F.get(w["ends"], w["n"])).alias("at"), F.concat(acc["ids"], F.slice(ids, F.lit(1), w["n"])).alias("ids"), F.coalesce(F.get(ids, w["n"]), F.lit(-1)).alias("next"),
+                    (agrees & (w["n"] > 0)).alias("good"), last.alias("done"),
+                ),
+            )
+
+        return F.when(acc["done"] | ~acc["good"], acc).otherwise(let(encode_bytes(F.substring(latin, acc["at"] + 1, F.lit(LONG)), ranks), taken))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids"), F.lit(-1).alias("next"), F.lit(True).alias("good"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.length(latin) / MARGIN).cast("int")), start, step, lambda acc: F.when(acc["good"] & acc["done"], acc["ids"]))
+
+
+def encode_bytes(latin: Column, ranks: Column) -> Column:
+    """The ids of bytes given as Latin-1 text, by a fold over them."""
     start = F.transform(F.regexp_extract_all(latin, F.lit("(?s)."), F.lit(0)), lambda ch: F.get(ranks["bytes"], F.ascii(ch)))
 
     def rank(a: Column, b: Column) -> Column:
@@ -126,7 +162,9 @@ def words_of(text: Column) -> Column:
 def dictionary(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``(word, n, ids)`` of ``(word)`` rows: each distinct word, its count and ids."""
     counted = written(words.filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")), "words")
-    bound = counted.withColumn("ranks", rank_table(words.sparkSession, path).scalar())
+    # spread by words: encoding one costs far more than its few bytes make the planner think
+    spread = counted.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    bound = spread.withColumn("ranks", rank_table(words.sparkSession, path).scalar())
     return written(bound.select("word", "n", let(F.col("ranks"), lambda r: encode_word(F.col("word"), r)).alias("ids")), "word-ids")
 
 
