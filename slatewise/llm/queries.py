@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from slatewise.llm.tokenizer import decode, encode, token_counts
 from slatewise.llm.top_per_group import ascending, descending, top_items
 from slatewise.shared import new_folder, written
 
+MOST_NAMES = 1000
 LABEL_FIELDS = ["reagent_norm", "solvent_norm"]
 
 
@@ -24,6 +27,14 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _few(table: DataFrame) -> list:
+    """The rows of a table of names; fails where they are more than a plan can hold."""
+    rows = table.limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    return rows
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return groups_of_two(condition_groups(_table(spark, sf, "condition_records")), "record_id")
 
@@ -32,7 +43,7 @@ def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Every record with its group and split; strata are bands of yield."""
     records = _table(spark, sf, "condition_records")
     labels = records.select("record_id", yield_band(F.col("yield_value")).alias("label"))
-    shares = [(r["split_name"], r["target_share"]) for r in _table(spark, sf, "split_shares").orderBy("split_name").limit(100).collect()]
+    shares = [(r["split_name"], r["target_share"]) for r in sorted(_few(_table(spark, sf, "split_shares").select("split_name", "target_share")))]
     return assign_splits(condition_groups(records).join(labels, "record_id"), shares).select("record_id", "group_id", "label", "split_name")
 
 
@@ -133,19 +144,38 @@ def p7_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return back.agg(F.count("*").alias("documents"), F.sum((F.col("text") == F.col("original")).cast("bigint")).alias("restored"), F.sum(F.size("ids")).alias("tokens"))
 
 
-def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts of the documents of the sources asked for."""
     documents, mix = _table(spark, sf, "documents"), _table(spark, sf, "source_mix")
     wanted = documents.join(F.broadcast(mix.select("source").distinct()), "source", "left_semi").select("doc_id", "source", "text")
-    sized = written(token_counts(wanted, carry=("source",)), "sized-documents")
-    return draw(sized, mix)
+    return written(token_counts(wanted, carry=("source",)), "sized-documents")
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest draw that keeps all targets and limits: the exponent is 0."""
+    return draw(_sized(spark, sf), _table(spark, sf, "source_mix"))
 
 
 def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return shares_reached(p8_mix(spark, sf), _table(spark, sf, "source_mix"))
 
 
+def p8_larger_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A draw of a hundredth more tokens than the targets and limits allow: the least exponent at which the limits allow it is bisected."""
+    sized, mix = _sized(spark, sf), _table(spark, sf, "source_mix")
+    total = draw(sized, mix).agg(F.sum(F.col("tokens") * F.col("repeats"))).first()[0] or 0
+    return shares_reached(draw(sized, mix, 1.01 * total), mix)
+
+
+def p8_entropy_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A draw by natural shares to the exponent at which their entropy is that of the targets."""
+    sized, mix = _sized(spark, sf), _table(spark, sf, "source_mix")
+    shares = [r["target_share"] for r in _few(mix.select("target_share")) if r["target_share"] and r["target_share"] > 0]
+    return shares_reached(draw(sized, mix, entropy=-sum(s * math.log(s) for s in shares)), mix)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    subjects = [r["subject"] for r in _table(spark, sf, "subject_areas").orderBy("subject").limit(1000).collect()]
+    subjects = sorted(r["subject"] for r in _few(_table(spark, sf, "subject_areas").select("subject")))
     return document_subjects(_table(spark, sf, "documents"), _table(spark, sf, "subject_samples"), subjects)
 
 
@@ -157,7 +187,7 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p1_report, p2_found, p2_counts, p3_found, p3_collapsed, p4_found, p5_found, p6_found, p6_coverage, p6_report, p7_ids, p7_roundtrip, p8_mix, p8_report, p9_found, p9_composition)
+    for f in (p1_found, p1_splits, p1_report, p2_found, p2_counts, p3_found, p3_collapsed, p4_found, p5_found, p6_found, p6_coverage, p6_report, p7_ids, p7_roundtrip, p8_mix, p8_report, p8_larger_report, p8_entropy_report, p9_found, p9_composition)
 }
 
 __all__ = ["ORACLE", "QUERIES"]

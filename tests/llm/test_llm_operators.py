@@ -513,6 +513,15 @@ def test_ids_and_round_trip(spark, monkeypatch, most):
     assert carried.columns == ["doc_id", "source", "tokens"] and carried.count() == len(want)
 
 
+@needs_vocabulary
+def test_long_words_are_encoded_in_windows(spark):
+    encoding, rng = reference_encoding(), random.Random(2)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (256, 257, 400, 5000)] + ["abc" * 400, "=-" * 300, "the" * 500, "é漢字" * 200]
+    texts.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFG") for _ in range(30_000)))
+    got = {r["doc_id"]: r["ids"] for r in tokenizer.encode(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")).collect()}
+    assert got == {i: encoding.encode_ordinary(x) for i, x in enumerate(texts)}
+
+
 @needs_vocabulary
 def test_ids_on_the_tables(spark, small):
     encoding = reference_encoding()
@@ -537,6 +546,31 @@ def test_budgets():
     assert abs(-sum(v * math.log(v) for v in half.values()) - 0.5) < 1e-6
 
 
+def test_the_exponent_is_bisected():
+    target, tokens, limits = {"a": 0.5, "b": 0.5}, {"a": 1000, "b": 10}, {"a": 1, "b": 4}
+    budgets, exponent = mixing.budgets_and_exponent(target, tokens, limits, total=500)
+    # weight of b: 0.5 * (2 * 10 / 1010) ** x over the sum of both is 40 / 500
+    assert 0 < exponent < 1 and abs(budgets["b"] - 40) < 1e-6
+    raw = {s: 0.5 * (2 * n / 1010) ** exponent for s, n in tokens.items()}
+    assert abs(raw["b"] / sum(raw.values()) - 40 / 500) < 1e-9
+    assert mixing.budgets_and_exponent(target, tokens, limits)[1] < 1e-9
+    flat, exponent = mixing.shares_and_exponent({"a": 0.9, "b": 0.1}, 0.6)
+    assert 0 < exponent < 1 and abs(-sum(v * math.log(v) for v in flat.values()) - 0.6) < 1e-9
+
+
+def test_nearest_sum():
+    rng = random.Random(4)
+    for _ in range(60):
+        sizes, most = [rng.randrange(1, 200) for _ in range(rng.randrange(0, 7))], rng.choice([1, 2])
+        goal = rng.uniform(0, sum(sizes) * most + 1)
+        got = mixing.nearest_sum(sizes, goal, most)
+        sums = [0]
+        for n in sizes:
+            sums = [x + k * n for x in sums for k in range(most + 1)]
+        assert all(0 <= k <= most for k in got)
+        assert abs(abs(sum(k * n for k, n in zip(got, sizes)) - goal) - min(abs(x - goal) for x in sums)) < 1e-9
+
+
 def test_draws(spark):
     rng = random.Random(2)
     sized = [(i, rng.choice(["a", "a", "a", "b", None, "z"]), rng.choice([0, 1, 5, 20])) for i in range(4000)] + [(9000, "b", 4000), (9001, "b", 10)]
