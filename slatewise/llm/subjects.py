@@ -13,7 +13,7 @@ document has each subject of at least a quarter of its sentences.
 
 The kernel is NumPy over Arrow batches, as iterated updates of small matrices
 are no relational operation; sums are combined per batch, before the shuffle.
-Labelled samples are used up to ``MAX_SAMPLES`` (all of a fixed table); corpus terms are those in at least ``TERM_SHARE``
+Labelled samples are used up to ``MAX_SAMPLES``, in the order of a hash (all of a fixed table); corpus terms are those in at least ``TERM_SHARE``
 of the documents, which bounds the model whatever the corpus.
 
 Defined cases: a null, empty or blank text has no subject; repeated rows give
@@ -41,20 +41,21 @@ LEAST_WEIGHT = 0.3
 QUARTER = 0.25
 LEAST_WORDS = 4
 CHUNK = 200_000
-ROUND_STEPS, LAST_STEPS = 6, 10
+ROUND_STEPS, LAST_STEPS = 8, 12
 
-# Words that begin a German sentence after one that has lost its full stop (nouns are capitals too).
-STARTERS = "Der|Die|Das|Hinweis|Laut|Siehe|Nach|Seite|Beim|Gegen|Weiteres|Am|Im|Als"
 _AFTER = r"(?:(?<=[a-zà-ÿ0-9)\]])|(?<=°C)|(?<=[A-Z0-9]{2}))\s+"
-_LOST_GERMAN = re.compile(rf"{_AFTER}(?=(?:{STARTERS})\b)")
 _LOST = re.compile(rf"{_AFTER}(?=[A-ZÀ-Þ][a-zà-ÿ’']+[\s:,]|A [a-z])")
 _GERMAN = re.compile(r"\d+\)\s+(der|die|das|ein|eine|im|laut)\s", re.IGNORECASE)
 _END = re.compile(r"(?<=[.!?])\s+|\n+|\s+(?=\d+\)\s)|(?<=\d --)\s+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 
 
-def sentences(text: str) -> list[str]:
-    """The sentences of a text; words broken at line ends are joined."""
+def sentences(text: str, starters: str = "") -> list[str]:
+    """The sentences of a text; words broken at line ends are joined.
+
+    Of a numbered sentence that has lost its full stop, the next begins at a capital; in German, where nouns are capitals
+    too, only at one of the caller's ``starters`` (words between ``|``), and without them it is not cut.
+    """
     text = text.replace("\r\n", "\n").replace("﻿", "").replace("​", "")
     text = re.sub(r"(\w)-\n(?=\w)", r"\1", text)
     text = re.sub(r"\s-\n", " ", text)
@@ -64,7 +65,11 @@ def sentences(text: str) -> list[str]:
     for part in _END.split(text):
         part = part.strip()
         if re.match(r"\d+\)\s", part):
-            lost = _LOST_GERMAN if _GERMAN.match(part) else _LOST
+            german = _GERMAN.match(part) is not None
+            if german and not starters:
+                found.append(part)
+                continue
+            lost = re.compile(rf"{_AFTER}(?=(?:{starters})\b)") if german else _LOST
             found += [x for x in (y.strip() for y in lost.split(part, maxsplit=1)) if x]
         elif part:
             found.append(part)
@@ -77,16 +82,28 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_SEEN: dict[str, int] = {}
+class _Words:
+    """Numbers of the words a worker has met, their hashes, and whether each is a word of more than one sign and no number."""
 
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.hashes, self.real = np.zeros(0, np.uint64), np.zeros(0, bool)
 
-def _word_hash(word: str) -> int:
-    found = _SEEN.get(word)
-    if found is None:
-        found = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        if len(_SEEN) < 1_000_000:  # a worker's memory, not its result
-            _SEEN[word] = found
-    return found
+    def of(self, words: list[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in self.numbers]
+        if len(self.numbers) + len(new) > 1_000_000:  # a worker's memory, not its result
+            self.__init__()
+            new = list(dict.fromkeys(words))
+        for w in new:
+            self.numbers[w] = len(self.numbers)
+        text = ["0" if w[0].isdigit() else w for w in new]
+        hashes = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in text]
+        self.hashes = np.concatenate([self.hashes, np.array(hashes, np.uint64)])
+        self.real = np.concatenate([self.real, np.array([len(w) > 1 and not w[0].isdigit() for w in new], bool)])
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+
+
+_MET = _Words()
 
 
 def terms(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,19 +112,19 @@ def terms(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     Terms are the distinct words in lower case, numbers as one sign, and pairs of neighbours;
     a scrap of fewer than ``LEAST_WORDS`` words has none. Hashes have 64 bits.
     """
-    flat, counts, real = [], [], []
+    flat, counts = [], []
     for text in texts:
         for sentence in text:
             words = _WORD.findall(sentence.lower())
             counts.append(len(words))
-            real.append(sum(len(w) > 1 and not w[0].isdigit() for w in words) >= LEAST_WORDS)
             flat += words
-    counts, real = np.array(counts, np.int64), np.array(real, bool)
+    counts = np.array(counts, np.int64)
     n = len(counts)
     if not flat:
         return np.zeros(0, np.int64), np.zeros(n, np.int64)
-    number = _word_hash("0")
-    words = np.array([number if w[0].isdigit() else _word_hash(w) for w in flat], np.uint64)
+    at = _MET.of(flat)
+    words = _MET.hashes[at]
+    real = np.bincount(np.repeat(np.arange(n), counts), _MET.real[at], n) >= LEAST_WORDS
     own = np.repeat(np.arange(n), counts)
     pair = own[1:] == own[:-1]
     pairs = _mixed(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] + np.uint64(1))[pair]
@@ -164,8 +181,8 @@ def normal(profiles: np.ndarray) -> np.ndarray:
 class Model:
     """Known terms, component profiles, and the labelled sentences."""
 
-    def __init__(self, samples: list[tuple[str, list[str]]], subjects: list[str], corpus_terms: np.ndarray, steps: int = 25):
-        cut = [sentences(text) for text, _ in samples]
+    def __init__(self, samples: list[tuple[str, list[str]]], subjects: list[str], corpus_terms: np.ndarray, steps: int = 25, starters: str = ""):
+        cut = [sentences(text, starters) for text, _ in samples]
         hashes, lengths = terms(cut)
         masks = []
         for own, (_, labels) in zip(cut, samples, strict=True):
@@ -206,7 +223,7 @@ def _chunks(batch: pd.DataFrame, kept: np.ndarray) -> Iterator[tuple[np.ndarray,
         first = last
 
 
-def document_subjects(documents: DataFrame, samples: DataFrame, subjects: list[str], key: str = "doc_id", rounds: int = 2) -> DataFrame:
+def document_subjects(documents: DataFrame, samples: DataFrame, subjects: list[str], key: str = "doc_id", rounds: int = 2, starters: str = "") -> DataFrame:
     """``(key, subject)`` for each subject of at least a quarter of a document's sentences."""
     spark = documents.sparkSession
     texts = documents.select(F.col(key).cast("bigint").alias("id"), "text").filter("text IS NOT NULL")
@@ -215,20 +232,20 @@ def document_subjects(documents: DataFrame, samples: DataFrame, subjects: list[s
         for batch in batches:
             if not len(batch):
                 continue
-            cut = [sentences(t) for t in batch["text"]]
+            cut = [sentences(t, starters) for t in batch["text"]]
             hashes, lengths = terms(cut)
             after = np.cumsum([len(c) for c in cut])  # sentences up to each document
             ends = np.concatenate(([0], np.cumsum(lengths)))
             yield pd.DataFrame({"id": batch["id"].to_numpy(), "hashes": np.split(hashes, ends[after[:-1]]), "lengths": np.split(lengths.astype(np.int32), after[:-1])})
 
     matrix = written(texts.mapInPandas(hash_terms, "id bigint, hashes array<bigint>, lengths array<int>"), "sentence-terms")
-    labelled = [(r["text"] or "", list(r["subjects"] or [])) for r in samples.select("text", "subjects").orderBy("text").limit(MAX_SAMPLES).collect()]
+    labelled = [(r["text"] or "", list(r["subjects"] or [])) for r in samples.select("text", "subjects").orderBy(F.xxhash64("text"), "text").limit(MAX_SAMPLES).collect()]
     common = np.zeros(0, np.int64)
     if labelled:
         each = matrix.select(F.explode(F.array_distinct("hashes")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
         # at most (terms of a document on average) / TERM_SHARE
         common = each.filter(F.col("n") >= max(3, matrix.count() * TERM_SHARE)).select("term").toPandas()["term"].to_numpy(np.int64)
-    model = Model(labelled, subjects, common)
+    model = Model(labelled, subjects, common, starters=starters)
     kept = spark.sparkContext.broadcast(model.kept)
     for _ in range(rounds if labelled else 0):
         now = spark.sparkContext.broadcast(model.profiles)
