@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slatewise.llm.canonical_labels import label_mapping
+from slatewise.llm.canonical_labels import Wording, label_mapping
 from slatewise.llm.format_duplicates import DuplicateLedger, canonical_key
 from slatewise.llm.linked_splits import assign_splits, condition_groups, groups_of_two, yield_band
 from slatewise.llm.mixing import draw, shares_reached
@@ -19,8 +19,20 @@ from slatewise.llm.tokenizer import decode, encode, token_counts
 from slatewise.llm.top_per_group import ascending, descending, top_items
 from slatewise.shared import new_folder, written
 
+# Words that say how a substance is delivered, not which it is.
+TRADE_WORDS = (
+    "aq", "aqueous", "cat", "catalytic", "sat", "saturated", "dry", "anhydrous", "excess", "degassed", "distilled", "conc",
+    "concentrated", "dilute", "fresh", "freshly", "powder", "powdered", "solution", "soln", "monohydrate", "dihydrate", "trihydrate",
+    "hydrate", "hemihydrate", "pellets", "granular", "solid", "neat", "crude", "pure", "reagent grade", "technical", "grade a", "x[ -]?h2o",
+)
+# Other spellings of the same word.
+SPELLINGS = {"sulph": "sulf", "aluminum": "aluminium", "cesium": "caesium", "hcl salt": "hydrochloride", "hbr salt": "hydrobromide"}
+# An amount or strength, as `2 M`, `10 mol%`, `99%`, `1.5 equiv`.
+AMOUNT = r"[0-9]+([.,][0-9]+)?([ -]?mol ?%| ?wt ?%| ?vol ?%| ?%|[ -](m|n|mm|ml|mg|g|eq|equiv)[.]?)(?![a-z0-9])"
+TRADE = Wording(TRADE_WORDS, SPELLINGS, AMOUNT)
 MOST_NAMES = 1000
 LABEL_FIELDS = ["reagent_norm", "solvent_norm"]
+LABEL_ROLES = {"reagent_norm": "reagent", "solvent_norm": "solvent"}
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -109,8 +121,8 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    roles = {"reagent_norm": "reagent", "solvent_norm": "solvent"}
-    return label_mapping(_table(spark, sf, "condition_rows"), _table(spark, sf, "label_reference"), roles)
+    """With the words of delivery of this trade as the caller's wording."""
+    return label_mapping(_table(spark, sf, "condition_rows"), _table(spark, sf, "label_reference"), LABEL_ROLES, wording=TRADE)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

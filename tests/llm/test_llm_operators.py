@@ -256,7 +256,7 @@ def mapped(spark, cells, reference=None):
     reference = reference or [(1, "solvent", "toluene", "PhMe"), (2, "solvent", "tetrahydrofuran", "THF"), (3, "solvent", "water", None), (4, "solvent", "iron(II) chloride", None), (5, "solvent", "iron(III) chloride", None), (6, "reagent", "acetone", None)]
     table = clashing(spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "row_id bigint, solvent_norm string"))
     ref = spark.createDataFrame(reference, "ref_id int, label_role string, label_name string, short_name string")
-    got = canonical_labels.label_mapping(table, ref, {"solvent_norm": "solvent"})
+    got = canonical_labels.label_mapping(table, ref, {"solvent_norm": "solvent"}, wording=Q.TRADE)
     out = collections.defaultdict(set)
     for r in got.collect():
         assert r["label_role"] == "solvent"
@@ -279,6 +279,14 @@ def test_labels_of_empty_tables(spark):
     assert rows(canonical_labels.label_mapping(table, empty, {"solvent_norm": "solvent"})) == {(1, "solvent", -1)}
 
 
+def test_labels_without_a_wording(spark):
+    ref = spark.createDataFrame([(1, "solvent", "toluene", "PhMe"), (2, "solvent", "DI", None), (3, "solvent", "iron(II) chloride", None)], "ref_id int, label_role string, label_name string, short_name string")
+    labels = spark.createDataFrame([("solvent", x) for x in ("TOLUENE", "tolueen", "ph-me", "di", "d", "chloride of iron(II)", "dry toluene")], "label_role string, label string")
+    got = {r["label"]: (r["ref_id"], r["kind"]) for r in canonical_labels.map_labels(labels, ref).collect()}
+    # names of one or two signs are found by the same join, without edits
+    assert got == {"TOLUENE": (1, 0), "tolueen": (1, 4), "ph-me": (1, 0), "di": (2, 0), "d": (-1, 5), "chloride of iron(II)": (3, 2), "dry toluene": (-1, 5)}
+
+
 def test_pigeonhole_misses_no_near_entry(spark):
     rng = random.Random(5)
     names = ["".join(rng.choice("abcdef") for _ in range(n)) for n in range(4, 24) for _ in range(6)]
@@ -602,7 +610,8 @@ def test_mix_on_the_tables(spark, small):
 def test_sentences():
     got = subjects.sentences("The office -\nsays this. Kali-\nbration fails.\n\n12) the seminar starts The next one ends.\r\nlast")
     assert got == ["The office says this.", "Kalibration fails.", "12) the seminar starts", "The next one ends.", "last"]
-    assert subjects.sentences("-- 3/4 -- The end. 3) das Haus brennt Die Uhr steht") == ["-- 3/4 --", "The end.", "3) das Haus brennt", "Die Uhr steht"]
+    assert subjects.sentences("-- 3/4 -- The end. 3) das Haus brennt Die Uhr steht", "Der|Die|Das") == ["-- 3/4 --", "The end.", "3) das Haus brennt", "Die Uhr steht"]
+    assert subjects.sentences("3) das Haus brennt Die Uhr steht") == ["3) das Haus brennt Die Uhr steht"]
     assert subjects.sentences("5) it was warmed to 80 °C  As noted, it fell. 6) IT IS A TEST") == ["5) it was warmed to 80 °C", "As noted, it fell.", "6) IT IS A TEST"]
     assert subjects.sentences("x = [y]  # sharp Note: it runs.") == ["x = [y]  # sharp", "Note: it runs."]
     assert subjects.sentences(" \n ") == []
