@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from slatewise.functions import numbers as N
 from slatewise.functions.labels import label_tokens
 from slatewise.functions.text import known_number
+from slatewise.plans.skew import join_spread
+from slatewise.shared import written
 
 
 def marked(df: DataFrame, gold: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -39,10 +41,25 @@ def each_with_top(rows: DataFrame, top: DataFrame, most: int = 1000) -> DataFram
     return rows.crossJoin(F.broadcast(top))
 
 
+def distinct_routes(routes: DataFrame, slate: str, route: str, order: list[Column]) -> DataFrame:
+    """A query's distinct routes, the first row by order of each."""
+    return routes.withColumn("_n", F.row_number().over(Window.partitionBy(slate, route).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
 def joint_candidates(routes: DataFrame, contexts: DataFrame, slate: str, route: str, order: list[Column]) -> DataFrame:
-    """A query's distinct routes (first by order) with each of its contexts."""
-    first = routes.withColumn("_n", F.row_number().over(Window.partitionBy(slate, route).orderBy(*order))).filter("_n = 1").drop("_n")
-    return first.join(contexts, slate)
+    """A query's distinct routes (first by order) with each of its contexts; the routes of a query that holds many are spread."""
+    first = written(distinct_routes(routes, slate, route, order), "routes")
+    return join_spread(first, contexts, slate)
+
+
+def joint_counts(routes: DataFrame, contexts: DataFrame, slate: str, route: str, id_: str, order: list[Column]) -> DataFrame:
+    """J13, counted: the rows and distinct route ids that ``joint_candidates`` gives for each query.
+
+    Each route meets each context of its query, so the rows are the product of two counts and no pair is formed.
+    """
+    own = distinct_routes(routes, slate, route, order).groupBy(slate).agg(F.count("*").alias("_routes"), F.countDistinct(id_).alias("routes"))
+    there = contexts.groupBy(slate).agg(F.count("*").alias("_contexts"))
+    return own.join(there, slate).select(slate, (F.col("_routes") * F.col("_contexts")).alias("candidates"), "routes")
 
 
 def full_union(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from slatewise.operators import ranking, retrieve
+from slatewise import catalog
+from slatewise.operators import pool, ranking, retrieve
 from slatewise.plans.bucketed import BucketedTable
 from slatewise.plans.running import running
 from slatewise.plans.skew import join_on_counted, join_spread
@@ -107,3 +108,31 @@ def test_spread_join_with_a_hot_key_on_both_sides(spark):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
     assert got.count() == 4001
     assert join_spread(left.limit(0), right, "k").count() == 0
+
+
+def test_joint_candidates_of_a_hot_query_are_counted_without_pairs(spark, tmp_path):
+    rows = spark.range(40_000).select(F.when(F.col("id") < 39_000, 3).otherwise(F.col("id") % 50 + 10).cast("bigint").alias("sample_index"), "id")
+    routes = rows.select("sample_index", F.concat(F.lit("r"), "id").alias("reactants"), F.col("id").alias("proposal_id"), (F.col("id") % 7).cast("int").alias("retro_rank"))
+    contexts = rows.select("sample_index", F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("reagent_norm"), F.lit("water").alias("solvent_norm"))
+    routes.unionByName(routes).write.parquet(f"{tmp_path}/route_proposals.parquet")
+    contexts.write.parquet(f"{tmp_path}/context_predictions.parquet")
+    out = catalog.QUERIES["joint_candidates"](spark, str(tmp_path))
+    steps = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= steps.find("Join") < steps.find("Aggregate"), "pairs are formed before they are counted"
+    got = {r["sample_index"]: (r["candidates"], r["routes"]) for r in out.collect()}
+    assert got[3] == (39_000 * 31_201, 39_000) and got[10] == (20 * 1, 20) and got[11] == (20 * 20, 20) and len(got) == 51
+
+
+def test_joint_counts_equal_the_counted_pairs(spark):
+    routes = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 1).otherwise(F.col("id") % 40).cast("bigint").alias("s"), F.concat(F.lit("r"), F.col("id") % 1500).alias("route"),
+        F.when(F.col("id") % 11 > 0, F.col("id") % 700).alias("p"), F.when(F.col("id") % 4 > 0, F.col("id") % 9).alias("rank"),
+    )
+    contexts = spark.createDataFrame([(1, "a"), (1, None), (2, "a"), (5, "b"), (None, "c"), (777, "d")], "s bigint, c string")
+    order = [F.col("rank").asc_nulls_last(), F.col("p")]
+    pairs = pool.joint_candidates(routes, contexts, "s", "route", order)
+    assert pairs.columns == ["s", "route", "p", "rank", "c"]
+    plain = pool.distinct_routes(routes, "s", "route", order).join(contexts, "s")
+    assert pairs.exceptAll(plain).count() == plain.exceptAll(pairs).count() == 0
+    want = {tuple(r) for r in plain.groupBy("s").agg(F.count("*"), F.countDistinct("p")).collect()}
+    assert {tuple(r) for r in pool.joint_counts(routes, contexts, "s", "route", "p", order).collect()} == want and len(want) == 3
