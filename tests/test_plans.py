@@ -1,8 +1,10 @@
 """Plan shapes: skew, running sums, buckets, pruning."""
 
 import ast
+import random
 from pathlib import Path
 
+import duckdb
 from pyspark.sql import functions as F
 
 from slatewise import catalog
@@ -136,3 +138,43 @@ def test_joint_counts_equal_the_counted_pairs(spark):
     assert pairs.exceptAll(plain).count() == plain.exceptAll(pairs).count() == 0
     want = {tuple(r) for r in plain.groupBy("s").agg(F.count("*"), F.countDistinct("p")).collect()}
     assert {tuple(r) for r in pool.joint_counts(routes, contexts, "s", "route", "p", order).collect()} == want and len(want) == 3
+
+
+def test_token_neighbors_of_a_hot_word_shuffle_no_pairs(spark, tmp_path):
+    i = F.col("id")
+    parts = spark.range(20_000).select(
+        (i - F.when(i % 1000 == 1, 1).otherwise(0)).alias("p_partkey"), F.concat(F.lit("Hot ring"), F.when(i % 3 > 0, F.concat(F.lit(" v"), i % 5000, F.lit("  w"), i % 700)).otherwise("")).alias("p_name"),
+        F.when(i % 100 != 50, F.concat(F.lit("Brand#"), i % 25)).alias("p_brand"), F.when(i % 2 == 0, "SMALL").otherwise("hot").alias("p_type"),
+    )
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    began = shuffled()
+    got = sorted(tuple(r) for r in catalog.QUERIES["tanimoto_token_topk"](spark, str(tmp_path)).collect())
+    assert shuffled() - began < 8_000_000
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT query_id, neighbor_id, similarity, neighbor_rank FROM ({catalog.ORACLE['tanimoto_token_topk']})").fetchall())
+    assert len(got) == 2000 and got == want
+
+
+def test_token_neighbors_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "MAX_BLOCK", 17)
+    monkeypatch.setattr(retrieve, "TOKEN_CELLS", 200)
+    monkeypatch.setattr(retrieve, "OFTEN", 2)
+    rng = random.Random(7)
+    sets = {f"i{n}": {"one"} if n % 3 == 0 else {rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))} | ({"one"} if n % 2 else set()) for n in range(300)}
+    tokens = [(i, t) for i, held in sets.items() for t in held] + [("i1", "one"), ("lone", "zz"), (None, "a"), ("i2", None)]
+    rows = spark.createDataFrame(tokens, "id string, token string")
+    for k in (1, 4, 400):
+        got = sorted(tuple(r) for r in retrieve.token_tanimoto(rows.filter("id LIKE 'i%5' OR id LIKE 'i%6' OR id IN ('i3', 'lone')"), rows, k).collect())
+        want = []
+        for q in (i for i in sets if i[-1] in "56" or i == "i3"):
+            near = sorted((-len(sets[q] & sets[i]) / len(sets[q] | sets[i]), i) for i in sets if i != q and sets[q] & sets[i])
+            want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(near[:k])]
+        assert got == sorted(want)
+    assert retrieve.token_tanimoto(rows.limit(0), rows, 3).count() == 0
+    assert retrieve.token_tanimoto(rows, rows.limit(0), 3).count() == 0
